@@ -10,13 +10,13 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.units import UnitCoder
+from lectern.llm.units import IdCoder, slices
 
 #: Adjacent pairs that one worker remembers before it starts afresh.
 PAIRS = 1_000_000
 
 
-class Backtracking(UnitCoder):
+class Backtracking(IdCoder):
     """Encodes by rank file as the tiktoken library does, each match of the pattern separately.
 
     Bytes are read as Latin-1 so that a string automaton finds, for every place, the longest
@@ -29,9 +29,14 @@ class Backtracking(UnitCoder):
     def __init__(self, path: str, pattern: str) -> None:
         import ahocorasick
 
+        import numpy as np
+
         super().__init__(pattern)
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
+        self.letter = "H" if max(self.ranks.values()) < 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.letter == "H" else "<u4")
+        self.size = self.dtype.itemsize
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.automaton = ahocorasick.Automaton()
         for t, i in self.ranks.items():
@@ -93,14 +98,11 @@ class Backtracking(UnitCoder):
         return out
 
     def piece(self, text: str) -> bytes:
-        return array("I", self.ids(text.encode())).tobytes()
+        return array(self.letter, self.ids(text.encode())).tobytes()
 
     def whole(self, text: str) -> bytes:
         return self.matches(self.find(text))
 
-    def total(self, values) -> bytes:
-        return b"".join(values)
-
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -115,7 +117,6 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", t
 
     Null and empty texts have no ids; null ids and repeated rows stay; other columns are not read.
     """
-    import numpy as np
     import pyarrow as pa
 
     src = docs.select(F.col(id_col), F.col(text_col).alias("text"))
@@ -123,12 +124,9 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", t
     def run(batches):
         coder = backtracking(ranks, pattern)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                raw = coder.encode(part.column(1).to_pylist())
-                ids = np.frombuffer(b"".join(raw), dtype="<u4").astype("<i4")
-                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype("<i4")
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], [id_col, "ids"])
+            for part in slices(batch):
+                ids, ends = coder.encode(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends.astype("<i4")), pa.array(ids.astype("<i4")))], [id_col, "ids"])
 
     kind = src.schema[0].dataType.simpleString()
     return src.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
@@ -153,7 +151,6 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
 
     Null and empty texts have 0 tokens and the digest of nothing, twice.
     """
-    import numpy as np
     import pyarrow as pa
 
     src = docs.select(F.col(id_col), F.col(text_col).alias("text"))
@@ -162,11 +159,10 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
         coder = backtracking(ranks, pattern)
         names = {i: str(i) for i in coder.tokens}
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                rows = []
-                for raw in coder.encode(part.column(1).to_pylist()):
-                    ids = np.frombuffer(raw, dtype="<u4").tolist()
+            for part in slices(batch):
+                rows, (flat, ends) = [], coder.encode(part.column(1))
+                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                    ids = flat[a:b].tolist()
                     rows.append((len(ids), hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()))
                 n, a, b = zip(*rows) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.store import scratch, written
-from lectern.llm.units import library_ids
+from lectern.llm.units import library_ids, slices
 
 #: Groups of large lengths; from this share of a sequence on, a length is large.
 GROUPS, LARGE = 48, 0.125
@@ -208,16 +208,16 @@ def pieces_of(docs: DataFrame, vocabulary: str, size: int, end_id: int, id_col:
 
         coder, task, seen = library_ids(vocabulary), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                some, rows = batch.slice(k, 512), []
-                for i, raw in enumerate(coder.encode(some.column(1).to_pylist())):
-                    ids = np.empty(len(raw) // coder.size + 1, dtype="<u4")
-                    ids[:-1] = np.frombuffer(raw, dtype=coder.dtype)
-                    ids[-1] = end_id
+            for some in slices(batch):
+                rows, (flat, ends) = [], coder.encode(some.column(1))
+                edges = ends + np.arange(len(ends))
+                flat = np.insert(flat.astype("<u4"), ends[1:], end_id)
+                for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+                    ids = flat[a:b]
                     first = len(ids) if len(ids) <= size else len(ids) % size or size
                     for piece, at in enumerate([0, *range(first, len(ids), size)]):
                         part = ids[at : at + size] if at else ids[:first]
-                        rows.append((i, piece, at, len(part), zlib.crc32(part.tobytes()), task, seen[len(part)]))
+                        rows.append((i, piece, at, len(part), zlib.crc32(part), task, seen[len(part)]))
                         seen[len(part)] += 1
                 if rows:
                     at, *others = zip(*rows)

@@ -26,6 +26,24 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_round_trip(spark, documents(spark, sf_dir), vocabulary(VOCABULARY), end_id=2)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.license_scan import license_scan
+
+    return license_scan(documents(spark, sf_dir))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.pii import pii_spans
+
+    return pii_spans(spark, documents(spark, sf_dir))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.token_count import token_counts
 
@@ -46,11 +64,30 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(spark, documents(spark, sf_dir), vocabulary(VOCABULARY), size=2048, end_id=0)
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.exact_dedup import exact_groups
+
+    return exact_groups(spark, documents(spark, sf_dir))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.quality_rules import quality_verdicts
+
+    return quality_verdicts(spark, documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_token_files": op1_token_files,
-    "op6_token_counts": op6_token_counts,
-    "op7_byte_bpe": op7_byte_bpe,
-    "op8_packing": op8_packing,
+    f.__name__: f
+    for f in (op1_token_files, op2_license_scan, op4_pii, op5_toxicity, op6_token_counts, op7_byte_bpe, op8_packing, op9_exact_dedup, op10_quality_rules)
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_exact_dedup": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain FROM documents
+), r AS (
+  SELECT doc_id, plain, first_value(doc_id) OVER (PARTITION BY plain ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY plain) AS group_size FROM d
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256 FROM r
+""",
+}

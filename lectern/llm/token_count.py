@@ -10,7 +10,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.units import UnitCoder, byte_letters
+from lectern.llm.units import UnitCoder, byte_letters, slices
 
 
 class MergeCounts(UnitCoder):
@@ -76,6 +76,14 @@ class MergeCounts(UnitCoder):
     def total(self, values) -> int:
         return sum(values)
 
+    def counts(self, texts):
+        """Tokens of each of an Arrow array of texts."""
+        import numpy as np
+
+        values, codes, offsets = self.coded(texts)
+        sums = np.concatenate([[0], np.cumsum(np.array(values, dtype="int64")[codes])])
+        return np.diff(sums[offsets])
+
 
 @functools.lru_cache(maxsize=4)
 def merge_counts(path: str) -> MergeCounts:
@@ -90,18 +98,17 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
     A text's cost is n log n, however long its words are.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     src = docs.select(F.col(id_col), F.col(text_col).alias("text"))
 
     def count(batches):
         coder = merge_counts(vocabulary)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                texts = part.column(1).to_pylist()
-                n = coder.encode(texts)
-                size = [len(t.encode()) if t else 0 for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], [id_col, "n_bytes", "n_tokens", "over_limit"])
+            for part in slices(batch):
+                n = coder.counts(part.column(1))
+                size = pc.cast(pc.binary_length(pc.fill_null(part.column(1), "")), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(n, pa.int64()), pa.array(n > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = src.schema[0].dataType.simpleString()
     return src.mapInArrow(count, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.store import scratch, written
-from lectern.llm.units import library_ids
+from lectern.llm.units import library_ids, slices
 
 #: Sequences in a record batch.
 BATCH = 512
@@ -113,24 +113,20 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
 
         coder, part, writer = library_ids(vocabulary), TaskContext.get().partitionId(), None
         name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:12]}"
-        end, n_docs = np.array([end_id], dtype=coder.dtype), 0
+        end, n_docs = coder.dtype.type(end_id), 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                some = batch.slice(k, 512)
-                if not some.num_rows:
-                    continue
+            for some in slices(batch):
                 if writer is None:
                     writer = SequenceWriter(f"{name}.tokens.arrow", coder.dtype, length)
                     schema = pa.schema([("id", some.schema.field(0).type), ("start", pa.int64()), ("n_tokens", pa.int64())])
                     sink = opened(f"{name}.docs.arrow", write=True)
                     index = pa.ipc.new_file(sink, schema)
-                starts, sizes = [], []
-                for raw in coder.encode(some.column(1).to_pylist()):
-                    ids = np.frombuffer(raw, dtype=coder.dtype)
-                    starts.append(writer.total)
-                    sizes.append(len(ids) + 1)
-                    writer.add(ids)
-                    writer.add(end)
+                flat, ends = coder.encode(some.column(1))
+                edges = ends + np.arange(len(ends))  # an end id after each document
+                flat = np.insert(flat, ends[1:], end)
+                starts = (edges[:-1] + writer.total).tolist()
+                sizes = np.diff(edges).tolist()
+                writer.add(flat)
                 index.write_batch(pa.RecordBatch.from_arrays([some.column(0), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=schema))
                 n_docs += some.num_rows
         if writer is not None:

@@ -12,12 +12,10 @@ from __future__ import annotations
 import functools
 import json
 
-#: The characters that str.isspace() accepts; a superset of the pattern's \s.
-SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
 #: A remembered unit or piece has at most so many characters; longer ones are encoded each time.
 UNIT_CHARS = 80
 #: Units and pieces that one worker remembers before it starts afresh (bounds its memory).
-UNITS, PIECES = 400_000, 300_000
+UNITS, PIECES = 600_000, 400_000
 #: Fixed value: the pattern by which the byte-level tokenizers split a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of characters below this one split alike under every Unicode version of the pattern's classes.
@@ -25,7 +23,7 @@ LATIN = "\u0250"
 
 
 class UnitCoder:
-    """Maps texts to a value; subclasses say what a piece (one match of the pattern) is worth.
+    """Maps texts to values; subclasses say what a piece (one match of the pattern) is worth.
 
     ``piece(p)`` gives the value of one piece, ``total(values)`` that of what lies side by side,
     ``whole(text)`` that of any text, and ``special`` are strings that force a text to be taken whole.
@@ -60,33 +58,102 @@ class UnitCoder:
             out.append(v)
         return out[0] if len(out) == 1 else self.total(out)
 
-    def splits(self, text: str) -> bool:
-        return not any(" " + c in text for c in SPACES) and not any(s in text for s in self.special)
-
-    def encode(self, texts: list[str | None]) -> list:
-        texts = [t or "" for t in texts]
-        every = self.splits("a".join(texts))
-        words = [t.split(" ") if every or self.splits(t) else [t] for t in texts]
-        known, whole, find = self.known, self.whole, self.find
-        if len(known) > UNITS:
-            known.clear()
+    def head(self, text: str):
+        """The value of a text's first word."""
+        return self.whole(text) if not text or max(text) >= LATIN or any(s in text for s in self.special) else self.matches(self.find(text))
+
+    def learn(self, words: list[str]) -> list:
+        """Values of new units, a space before each; all plain ones are split in one go."""
+        plain = [w for w in words if w and max(w) < LATIN]
+        out, pieces, piece, total = {}, self.pieces, self.piece, self.total
+        for k in range(0, len(plain), 5000):
+            some, values, at = plain[k : k + 5000], [], -1
+            for p in self.find(" " + " ".join(some)):
+                if (v := pieces.get(p)) is None:
+                    v = piece(p)
+                    if len(p) <= UNIT_CHARS:
+                        pieces[p] = v
+                if p[0] == " ":
+                    if at >= 0:
+                        out[some[at]] = values[0] if len(values) == 1 else total(values)
+                    at, values = at + 1, [v]
+                else:
+                    values.append(v)
+            out[some[at]] = total(values)
+            assert at == len(some) - 1, "a space that begins no piece"
+        return [out[w] if w in out else self.whole(" " + w) for w in words]
+
+    def coded(self, texts):
+        """``values, codes, offsets`` of an Arrow array of texts: text ``i`` is ``values[c] for c in codes[offsets[i]:offsets[i + 1]]``."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, " [\\x09-\\x0D\\x1C-\\x20\\x{85}\\pZ]")
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        odd = odd.to_numpy(zero_copy_only=False)
+        apart = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        split = pc.split_pattern(apart, " ")
+        offsets = split.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        coded = split.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy().astype("int64")
+        words = coded.dictionary.to_pylist()
+        if len(self.known) > UNITS:
+            self.known.clear()
         if len(self.pieces) > PIECES:
             self.pieces.clear()
-        look, out = known.get, []
-        for w in words:
-            values = list(map(look, w))
-            values[0] = whole(w[0]) if len(w) == 1 or not w[0] or max(w[0]) >= LATIN or any(s in w[0] for s in self.special) else self.matches(find(w[0]))
-            for k in [k for k, v in enumerate(values) if v is None] if None in values else ():
-                u = w[k]
-                values[k] = v = self.matches(find(" " + u)) if u and max(u) < LATIN else whole(" " + u)
-                if len(u) <= UNIT_CHARS:
-                    known[u] = v
-            out.append(self.total(values))
-        return out
-
-
-class LibraryIds(UnitCoder):
-    """Token ids as the tokenizers library gives them, as bytes: little-endian unsigned integers of ``dtype``."""
+        values = list(map(self.known.get, words))
+        if new := [k for k, v in enumerate(values) if v is None]:
+            fresh = [words[k] for k in new]
+            for k, w, v in zip(new, fresh, self.learn(fresh)):
+                values[k] = v
+                if len(w) <= UNIT_CHARS:
+                    self.known[w] = v
+        heads = codes[offsets[:-1]]
+        codes[offsets[:-1]] = len(values) + np_arange(len(heads))
+        first = [self.whole(texts[i].as_py()) if o else self.head(words[h]) for i, (o, h) in enumerate(zip(odd.tolist(), heads.tolist()))]
+        return values + first, codes, offsets
+
+
+def np_arange(n: int):
+    import numpy as np
+
+    return np.arange(n, dtype="int64")
+
+
+class IdCoder(UnitCoder):
+    """Values are ids as bytes: little-endian unsigned integers of ``dtype``."""
+
+    def total(self, values) -> bytes:
+        return b"".join(values)
+
+    def encode(self, texts):
+        """Ids of an Arrow array of texts, flat, and each text's edges in them."""
+        import numpy as np
+
+        values, codes, offsets = self.coded(texts)
+        flat = np.frombuffer(b"".join(values), dtype=self.dtype)
+        sizes = np.fromiter(map(len, values), dtype="int64", count=len(values)) // self.size
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(starts[codes] - ends[:-1], n)
+        at += np.arange(len(at))
+        return flat[at], ends[offsets]
+
+
+def slices(batch, column: int = 1, most: int = 1 << 24):
+    """A record batch in runs of rows of about ``most`` bytes of text (a row at least)."""
+    rows, k = max(1, int(batch.num_rows * most / max(1, batch.column(column).nbytes))), 0
+    while k < batch.num_rows:
+        yield batch.slice(k, rows)
+        k += rows
+
+
+class LibraryIds(IdCoder):
+    """Token ids as the tokenizers library gives them."""
 
     def __init__(self, path: str) -> None:
         import numpy as np
@@ -103,18 +170,15 @@ class LibraryIds(UnitCoder):
         self.size = self.dtype.itemsize
         self.special = tuple(t["content"] for t in told["added_tokens"])
         self.letters = byte_letters()
+        self.raw = [i.to_bytes(self.size, "little") for i in range(self.library.get_vocab_size())]
 
     def whole(self, text: str) -> bytes:
-        if not text:
-            return b""
-        return b"".join(i.to_bytes(self.size, "little") for i in self.library.encode(text, add_special_tokens=False).ids)
+        return b"".join([self.raw[i] for i in self.library.encode(text, add_special_tokens=False).ids]) if text else b""
 
     def piece(self, text: str) -> bytes:
         letters = text.encode().decode("latin-1").translate(self.letters)
-        return b"".join([t.id.to_bytes(self.size, "little") for t in self.model.tokenize(letters)])
-
-    def total(self, values) -> bytes:
-        return b"".join(values)
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.model.tokenize(letters)])
 
 
 @functools.lru_cache(maxsize=1)
