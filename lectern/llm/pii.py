@@ -24,14 +24,14 @@ from lectern.llm.store import scratch, written
 #: let a match begin where the last one ended or a run of its first characters begins, where alone one can; the
 #: possessive runs never back off, which no match needs. So time is linear in the text.
 BASE: dict[str, str] = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Generators of candidates beside the base patterns: proposed kind -> pattern.
 PROPOSED: dict[str, str] = {
-    "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]{2,63}+)+",
+    "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]{2,63}+){1,8}",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9]{4}(?:[.\x20-]{1,3}[0-9]{4}){2,3}(?:[.\x20-]{1,3}[0-9]{1,4})?(?![0-9])",
     "phone": r"(?<![0-9+(])(?:\(?[0-9]{2,4}\)?[\x20.-]{1,2}){1,3}[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])",
@@ -52,33 +52,22 @@ def digits(text: Column) -> Column:
 
 def luhn(number: Column) -> Column:
     """Whether a string of digits passes the Luhn check."""
-    n = F.length(number)
-    total = reduce(lambda a, b: a + b, [F.coalesce(_luhn_digit(number, n, i), F.lit(0)) for i in range(19)])
-    return total % 10 == 0
-
-
-def _luhn_digit(number: Column, n: Column, i: int) -> Column:
-    d = F.try_to_number(F.when(n > i, F.substr(number, n - i, F.lit(1))), F.lit("9")).cast("int")
-    return d if i % 2 == 0 else (2 * d) % 10 + F.when(d >= 5, 1).otherwise(0)
+    kept = F.split(F.reverse(number), "")
+    each = F.transform(kept, lambda c, i: F.when(i % 2 == 0, c.try_cast("int")).otherwise(2 * c.try_cast("int") - F.when(c >= "5", 9).otherwise(0)))
+    return F.aggregate(each, F.lit(0), lambda a, d: a + F.coalesce(d, F.lit(0))) % 10 == 0
 
 
 def passes(kind: str, text: Column) -> Column:
     """The base check of a match of a base kind."""
     if kind == "ip":
-        small = [F.length(p) <= 3 for p in (F.regexp_replace(x, "^0+(?=[0-9])", "") for x in _parts(text))]
-        value = [F.regexp_replace(x, "^0+(?=[0-9])", "") for x in _parts(text)]
-        return reduce(lambda a, b: a & b, small) & reduce(lambda a, b: a & b, [F.when(F.length(v) <= 3, v.cast("int") <= 255).otherwise(False) for v in value])
+        return ~F.exists(F.split(text, "[.]"), lambda p: p.rlike("^0*(?:[1-9][0-9]{3,}|[3-9][0-9]{2}|2[6-9][0-9]|25[6-9])$"))
     if kind == "card":
-        return F.length(digits(text)).between(12, 19) & luhn(digits(text))
+        return F.when(F.length(digits(text)).between(12, 19), luhn(digits(text))).otherwise(False)
     if kind == "phone":
         return F.length(digits(text)).between(9, 15)
     return F.lit(True)
 
 
-def _parts(text: Column) -> list[Column]:
-    return [F.split_part(text, F.lit("."), F.lit(i)) for i in range(1, 5)]
-
-
 def placed(text: Column, pattern: str, kind: str, needs: str | None = None) -> Column:
     """``array<struct<kind, start, stop, match, before, after>>`` of a pattern's matches, code points, stop exclusive.
 
@@ -130,9 +119,9 @@ def confirmed(s: Column) -> Column:
     value = F.regexp_extract(m, r"[=:]\x20*[\x22\x27]?(.*)$", 1)
     iban = F.regexp_replace(m, " ", "")
     return (
-        F.when(s["kind"] == "email", m.rlike(r"(?i)[a-z0-9](?:@|\x20?[\[({]at[\])}]\x20?)[a-z0-9-]+(?:(?:\.|\x20?[\[({]dot[\])}]\x20?)[a-z0-9-]+)*(?:\.|[\])}]\x20?)[a-z]{2,12}$"))
+        F.when(s["kind"] == "email", m.rlike(r"(?i)[a-z0-9](?:@|\x20?[\[({]at[\])}]\x20?)[a-z0-9]") & m.rlike(r"(?i)[.\])}]\x20?[a-z]{2,12}$"))
         .when(s["kind"] == "ip", m.rlike(r"^[0-9.]+$") & passes("ip", m) | m.rlike(r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$"))
-        .when(s["kind"] == "card", n.between(12, 19) & luhn(digits(m)))
+        .when(s["kind"] == "card", passes("card", m))
         .when(s["kind"] == "phone", n.between(9, 15) & (m.startswith("+") | m.rlike(r"^\([0-9]{3}\)\x20[0-9]{3}-[0-9]{4}$")))
         .when(s["kind"] == "secret", m.startswith("AKIA") | (F.length(value) >= 12) & value.rlike("[0-9]") & value.rlike("[A-Za-z]"))
         .when(s["kind"] == "iban", F.length(iban).between(15, 34) & (F.length(digits(iban)) >= 10))
@@ -156,7 +145,8 @@ class Trees:
         return z
 
     def column(self, s: Column) -> Column:
-        xs = [expr(s) for _, expr in FEATURES.values()]
+        """The score of a judged candidate (see ``judged``)."""
+        xs = [s[name] for name in FEATURES]
         z = F.lit(self.bias)
         for f, e, low, high in self.trees:
             leaf = lambda n: F.when(xs[n[0]] < n[1], n[2]).otherwise(n[3])
@@ -219,6 +209,12 @@ def calibrated(model: Trees, cells: dict[tuple, list[float]], precision: float)
     return Trees(model.bias, model.trees, limit)
 
 
+def judged(s: Column) -> Column:
+    """A span with its features, whether its form is confirmed, and its fold."""
+    features = [expr(s).alias(name) for name, (_, expr) in FEATURES.items()]
+    return F.struct(s["kind"].alias("span"), s["start"].alias("start"), s["stop"].alias("stop"), *features, F.coalesce(confirmed(s), F.lit(False)).alias("yes"), (F.crc32(s["match"].cast("binary")) % 4 == 0).alias("held"))
+
+
 def _passing(kind: str, yes: bool):
     return lambda s: passes(kind, s["match"]) == yes
 
@@ -233,26 +229,25 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     df = df.select("id", *[r.alias(f"base_{k}") for k, r in zip(BASE, raw)], *[m.alias(f"more_{k}") for k, m in zip(PROPOSED, more)])
     base = F.concat(*[F.filter(f"base_{k}", _passing(k, True)) for k in BASE])
     failed = [F.filter(f"base_{k}", _passing(k, False)) for k in BASE if k != "email"]
-    return df.select("id", base.alias("base"), F.concat(*failed, *[F.col(f"more_{k}") for k in PROPOSED]).alias("proposed"))
+    df = df.select("id", base.alias("base"), F.concat(*failed, *[F.col(f"more_{k}") for k in PROPOSED]).alias("proposed"))
+    return df.select("id", F.transform("base", judged).alias("base"), F.transform("proposed", judged).alias("proposed"))
 
 
 def fitted(found: DataFrame, precision: float = 0.97) -> Trees:
     """Trees fitted on all candidates, counted by feature vector (a table bounded by the product of the features' sizes)."""
-    spans = found.select(F.explode(F.concat("base", "proposed")).alias("s"))
-    s = F.col("s")
-    counted = spans.select(*[expr(s).alias(f"x{i}") for i, (_, expr) in enumerate(FEATURES.values())], F.coalesce(confirmed(s), F.lit(False)).cast("int").alias("y"), (F.crc32(s["match"].cast("binary")) % 4 == 0).alias("fold"))
+    spans = found.select(F.explode(F.concat("base", "proposed")).alias("s")).select(*[F.col(f"s.{name}") for name in FEATURES], "s.yes", "s.held")
     train, held = defaultdict(lambda: [0.0, 0.0]), defaultdict(lambda: [0.0, 0.0])
-    for r in counted.groupBy(*counted.columns).agg(F.count(F.lit(1)).alias("n")).collect():
-        (held if r["fold"] else train)[tuple(r)[: len(FEATURES)]][r["y"]] += r["n"]
+    for r in spans.groupBy(*spans.columns).agg(F.count(F.lit(1)).alias("n")).collect():
+        (held if r["held"] else train)[tuple(r)[: len(FEATURES)]][int(r["yes"])] += r["n"]
     return calibrated(boosted(dict(sorted(train.items()))), dict(held), precision)
 
 
 def selected(found: DataFrame, model: Trees) -> DataFrame:
     """``id, base, added``: candidates over the threshold that touch no base span and, of those that overlap, the longest first."""
-    picked = F.filter("proposed", lambda s: model.column(s) >= model.limit) if math.isfinite(model.limit) else F.array().cast(SPANS)
+    picked = F.filter("proposed", lambda s: model.column(s) >= model.limit) if math.isfinite(model.limit) else F.slice("proposed", 1, 0)
     touches = lambda a, b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])
     free = F.when(F.size("picked") > 0, F.filter("picked", lambda s: ~F.exists("base", lambda b: touches(s, b)))).otherwise(F.col("picked"))
-    wins = lambda a, b: F.struct(F.length(a["match"]), -a["start"], a["kind"]) > F.struct(F.length(b["match"]), -b["start"], b["kind"])
+    wins = lambda a, b: F.struct(a["stop"] - a["start"], -a["start"], a["span"]) > F.struct(b["stop"] - b["start"], -b["start"], b["span"])
     df = found.withColumn("picked", picked).withColumn("free", free)
     df = df.withColumn("added", F.when(F.size("free") > 1, F.filter("free", lambda s: ~F.exists("free", lambda o: touches(s, o) & wins(o, s)))).otherwise(F.col("free")))
     return df.select("id", "base", F.array_distinct("added").alias("added"))
@@ -260,7 +255,7 @@ def selected(found: DataFrame, model: Trees) -> DataFrame:
 
 def joined(spans: Column) -> Column:
     """``kind:start:stop`` by start, then kind in its order, joined by commas."""
-    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("a"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["stop"].alias("z"), s["kind"].alias("kind")))
+    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("a"), F.array_position(F.array(*map(F.lit, KINDS)), s["span"]).alias("k"), s["stop"].alias("z"), s["span"].alias("kind")))
     return F.array_join(F.transform(F.array_sort(keyed), lambda t: F.concat_ws(":", t["kind"], t["a"].cast("string"), t["z"].cast("string"))), ",")
 
 
@@ -273,5 +268,5 @@ def pii_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text
     """
     found = written(candidates(docs, id_col, text_col), scratch(spark, "pii"))
     out = selected(found, fitted(found, precision))
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    count = lambda k: F.size(F.filter("base", lambda s: s["span"] == k)).cast("long").alias(f"n_{k}")
     return out.select(F.col("id").alias(id_col), *map(count, BASE), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
