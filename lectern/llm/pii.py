@@ -219,18 +219,19 @@ def _passing(kind: str, yes: bool):
     return lambda s: passes(kind, s["match"]) == yes
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, base, proposed``: the base spans that pass their checks, and what else generators propose: the base matches that fail, and the spans of ``PROPOSED``."""
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """``id, base, proposed``: the base spans that pass their checks, and what else generators propose: the base matches that fail, and the spans of ``PROPOSED``. If ``whole``, also ``row``, the whole row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    kept = ["id", "row"] if whole else ["id"]
+    df = docs.select(F.col(id_col).alias("id"), text.alias("text"), *([F.struct("*").alias("row")] if whole else []))
     has_digit = F.when(F.col("text").rlike("[0-9]"), F.col("text"))
     raw = [placed(F.col("text") if k == "email" else has_digit, p, k, NEEDS.get(k)) for k, p in BASE.items()]
     more = [placed(F.when(F.col("text").rlike(r"(?i)[\[({\x20]at[\])}\x20]"), F.col("text")) if k == "email" else has_digit, p, k) for k, p in PROPOSED.items()]
-    df = df.select("id", *[r.alias(f"base_{k}") for k, r in zip(BASE, raw)], *[m.alias(f"more_{k}") for k, m in zip(PROPOSED, more)])
+    df = df.select(*kept, *[r.alias(f"base_{k}") for k, r in zip(BASE, raw)], *[m.alias(f"more_{k}") for k, m in zip(PROPOSED, more)])
     base = F.concat(*[F.filter(f"base_{k}", _passing(k, True)) for k in BASE])
     failed = [F.filter(f"base_{k}", _passing(k, False)) for k in BASE if k != "email"]
-    df = df.select("id", base.alias("base"), F.concat(*failed, *[F.col(f"more_{k}") for k in PROPOSED]).alias("proposed"))
-    return df.select("id", F.transform("base", judged).alias("base"), F.transform("proposed", judged).alias("proposed"))
+    df = df.select(*kept, base.alias("base"), F.concat(*failed, *[F.col(f"more_{k}") for k in PROPOSED]).alias("proposed"))
+    return df.select(*kept, F.transform("base", judged).alias("base"), F.transform("proposed", judged).alias("proposed"))
 
 
 def fitted(found: DataFrame, precision: float = 0.97) -> Trees:
@@ -250,7 +251,32 @@ def selected(found: DataFrame, model: Trees) -> DataFrame:
     wins = lambda a, b: F.struct(a["stop"] - a["start"], -a["start"], a["span"]) > F.struct(b["stop"] - b["start"], -b["start"], b["span"])
     df = found.withColumn("picked", picked).withColumn("free", free)
     df = df.withColumn("added", F.when(F.size("free") > 1, F.filter("free", lambda s: ~F.exists("free", lambda o: touches(s, o) & wins(o, s)))).otherwise(F.col("free")))
-    return df.select("id", "base", F.array_distinct("added").alias("added"))
+    return df.select("id", "base", F.array_distinct("added").alias("added"), *([F.col("row")] if "row" in df.columns else []))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.97) -> DataFrame:
+    """``docs`` with ``<KIND>`` in place of every span, base or added; spans that overlap make one mark, of the first's kind.
+
+    Rows without spans, null texts among them, stay as they are. Texts are scanned twice, once to count the candidates and once to
+    put in the marks, rather than stored a second time.
+    """
+    model = fitted(candidates(docs, id_col, text_col), precision)
+    df = selected(candidates(docs, id_col, text_col, whole=True), model)
+    order = F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["span"]).alias("k"), s["stop"].alias("stop"), s["span"].alias("span")))
+    df = df.select("row", F.array_sort(order).alias("spans"))
+    # Runs of spans that overlap: the first of each, with the greatest stop so far before it.
+    reach = F.aggregate("spans", F.struct(F.lit(0).alias("stop"), F.array().cast("array<struct<start:int,stop:int,span:string>>").alias("runs")), lambda a, s: F.struct(
+        F.greatest(a["stop"], s["stop"]).alias("stop"),
+        F.when((F.size(a["runs"]) > 0) & (s["start"] < a["stop"]), F.concat(F.slice(a["runs"], F.lit(1), F.greatest(F.size(a["runs"]) - 1, F.lit(0))), F.array(F.struct(F.element_at(a["runs"], -1)["start"].alias("start"), F.greatest(a["stop"], s["stop"]).alias("stop"), F.element_at(a["runs"], -1)["span"].alias("span")))))
+        .otherwise(F.concat(a["runs"], F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["span"].alias("span"))))).alias("runs"),
+    ))
+    df = df.select("row", F.when(F.size("spans") > 0, reach["runs"]).alias("runs"))
+    text = F.col("row")[text_col]
+    before = lambda r, i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("runs"), i - 1)["stop"])
+    marked = F.transform("runs", lambda r, i: F.concat(F.substring(text, before(r, i) + 1, r["start"] - before(r, i)), F.lit("<"), F.upper(r["span"]), F.lit(">")))
+    tail = F.substring(text, F.element_at("runs", -1)["stop"] + 1, F.length(text))
+    new = F.when(F.col("runs").isNull(), text).otherwise(F.concat(F.array_join(marked, ""), tail))
+    return df.select(F.col("row").withField(text_col, new).alias("row")).select("row.*")
 
 
 def joined(spans: Column) -> Column:

@@ -32,6 +32,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
 
+def op3_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.near_join import near_components
+
+    return near_components(spark, documents(spark, sf_dir))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.pii import pii_spans
 
@@ -78,7 +84,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_files, op2_license_scan, op4_pii, op5_toxicity, op6_token_counts, op7_byte_bpe, op8_packing, op9_exact_dedup, op10_quality_rules)
+    for f in (op1_token_files, op2_license_scan, op3_near_join, op4_pii, op5_toxicity, op6_token_counts, op7_byte_bpe, op8_packing, op9_exact_dedup, op10_quality_rules)
 }
 
 ORACLE: dict[str, str] = {

@@ -177,3 +177,18 @@ def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, lim
 
     kind = src.schema[0].dataType.simpleString()
     return src.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit: float = 0.3, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, all columns as they were; no shuffle."""
+    import pyarrow as pa
+
+    model, at = learned(docs, labels, id_col, text_col, sample=sample), docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                yield part.filter(pa.array([model.score(t or "") < limit for t in part.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
