@@ -64,7 +64,7 @@ def words(text: Column) -> Column:
 
 def sentence_count(text: Column) -> Column:
     """Sentences with something in them: a terminator that no plain letter or digit follows, or a line's end, parts them."""
-    parts = F.split(text, rf"\n|(?<={end_class()})(?!(?U)[\p{{L}}\p{{N}}])")
+    parts = F.split(text, rf"\n|(?<={end_class()})(?![\p{{L}}\p{{N}}&&[^{wide_class()[1:]}])")
     return F.size(F.filter(parts, lambda s: F.length(F.trim(s)) > 0)).cast("long")
 
 
