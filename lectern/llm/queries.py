@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm.sql import ORACLE  # noqa: F401  (for __spark_entry__)
 
 #: Where the vocabulary files are; a parameter of every operator that uses one.
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -79,21 +82,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.quality_rules import quality_verdicts
 
-    return quality_verdicts(spark, documents(spark, sf_dir))
+    return quality_verdicts(spark, documents(spark, sf_dir)).withColumn("host_rate", F.round("host_rate", 6))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_token_files, op2_license_scan, op3_near_join, op4_pii, op5_toxicity, op6_token_counts, op7_byte_bpe, op8_packing, op9_exact_dedup, op10_quality_rules)
 }
-
-ORACLE: dict[str, str] = {
-    "op9_exact_dedup": r"""
-WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain FROM documents
-), r AS (
-  SELECT doc_id, plain, first_value(doc_id) OVER (PARTITION BY plain ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY plain) AS group_size FROM d
-)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256 FROM r
-""",
-}
