@@ -67,3 +67,84 @@ def dense_rows(cells: DataFrame) -> DataFrame:
     rows = cells.filter(F.col("text") != "").groupBy("sheet", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("_m"), F.max("col").alias("_w"))
     full = F.transform(F.sequence(F.lit(0), F.col("_w").cast("int")), lambda c: F.coalesce(F.try_element_at("_m", c.cast("long")), F.lit("")))
     return rows.select("sheet", "row", full.alias("cells"))
+
+
+#: Gaps that part columns and rows, as shares of the page; how deep a page is parted; share of a box that counts as contained.
+COLUMN_GAP, ROW_GAP, DEPTH, INSIDE = 0.01, 0.005, 24, 0.9
+
+
+def widest_gap(low, high) -> tuple[float, float]:
+    """The widest stretch that no interval covers, and its middle; the first of equals, 0 if there is none."""
+    import numpy as np
+
+    order = np.argsort(low, kind="stable")
+    gaps = low[order][1:] - np.maximum.accumulate(high[order])[:-1]
+    if not len(gaps) or gaps.max() <= 0:
+        return 0.0, 0.0
+    k = int(gaps.argmax())
+    return float(gaps[k]), float(low[order][k + 1] - gaps[k] / 2)
+
+
+def reading_order(boxes, width: float, height: float):
+    """Indexes of ``boxes`` (rows of x0, y0, x1, y1) as they are read: parted at column gaps, then at row gaps, else by (y, x)."""
+    import numpy as np
+
+    out, todo = [], [(np.arange(len(boxes)), 0)]
+    while todo:
+        some, depth = todo.pop()
+        b, cut = boxes[some], None
+        if len(some) > 1 and depth < DEPTH:
+            for axis, least in ((0, width * COLUMN_GAP), (1, height * ROW_GAP)):
+                gap, at = widest_gap(b[:, axis], b[:, axis + 2])
+                first = b[:, axis + 2] <= at
+                if gap >= least and first.any() and not first.all():
+                    cut = first
+                    break
+        if cut is None:
+            out += some[np.lexsort((b[:, 0], b[:, 1]))].tolist()
+        else:
+            todo += [(some[~cut], depth + 1), (some[cut], depth + 1)]
+    return out
+
+
+def arranged(items: DataFrame, by: list[str], width: float, height: float) -> DataFrame:
+    """Add ``place`` (from 1) to the items of each page (``x0, y0, x1, y1``, ``seq`` for ties) in reading order."""
+    import pandas as pd
+
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values("seq").reset_index(drop=True)
+        page["place"] = 0
+        page.loc[reading_order(page[["x0", "y0", "x1", "y1"]].to_numpy(dtype=float), width, height), "place"] = range(1, len(page) + 1)
+        return page
+
+    schema = items.schema.simpleString()[len("struct<") : -1]
+    return items.groupBy(*by).applyInPandas(run, f"{schema},place:bigint")
+
+
+def uncovered(items: DataFrame, by: list[str]) -> DataFrame:
+    """The items of each page less those of which 0.9 lies in another of the same size or larger that is still there, in order of ``seq``."""
+    import pandas as pd
+
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        page = page.sort_values("seq").reset_index(drop=True)
+        b = page[["x0", "y0", "x1", "y1"]].to_numpy(dtype=float)
+        area = np.maximum(0, b[:, 2] - b[:, 0]) * np.maximum(0, b[:, 3] - b[:, 1])
+        there = np.ones(len(b), dtype=bool)
+        for i in range(len(b)):
+            shared = np.maximum(0, np.minimum(b[:, 2], b[i, 2]) - np.maximum(b[:, 0], b[i, 0])) * np.maximum(0, np.minimum(b[:, 3], b[i, 3]) - np.maximum(b[:, 1], b[i, 1]))
+            holds = there & (area >= area[i]) & (shared >= INSIDE * area[i]) & (area[i] > 0)
+            holds[i] = False
+            there[i] = not holds.any()
+        return page[there]
+
+    return items.groupBy(*by).applyInPandas(run, items.schema)
+
+
+def chosen_spans(spans: DataFrame, by: list[str]) -> DataFrame:
+    """Spans (``start, stop`` inclusive, ``score``, ``seq``) taken by falling score where they overlap none taken before, by start."""
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("seq").cast("long").alias("seq"), F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))))
+    none = F.array().cast("array<struct<s:double,seq:bigint,start:bigint,stop:bigint>>")
+    fold = F.aggregate(listed, none, lambda t, x: F.when(F.exists(t, lambda o: (x["start"] <= o["stop"]) & (o["start"] <= x["stop"])), t).otherwise(F.concat(t, F.array(F.struct(x["s"].cast("double").alias("s"), x["seq"].alias("seq"), x["start"].alias("start"), x["stop"].alias("stop"))))))
+    return spans.groupBy(*by).agg(fold.alias("_t")).select(*by, F.explode("_t").alias("t")).select(*by, "t.start", "t.stop", (-F.col("t.s")).alias("score"), "t.seq")

@@ -453,3 +453,27 @@ def pivot_mask(spark, sf_dir):
 @query("WITH " + SHEET + ", r AS (SELECT sheet, row, max(col) AS w, map_from_entries(list((col, text))) AS m FROM c GROUP BY 1, 2) SELECT sheet, row, array_to_string(list_transform(range(0, w + 1), lambda i: coalesce(m[i], '')), ',') AS cells FROM r")
 def densify_rows(spark, sf_dir):
     return layout.dense_rows(sheet(spark, sf_dir)).withColumn("cells", F.array_join("cells", ","))
+
+
+def page_boxes(spark, sf_dir):
+    k = F.col("p_partkey")
+    x0, y0 = (k * 37 % 700).cast("double"), (k * 53 % 900).cast("double")
+    return table(spark, sf_dir, "part").select((k % 40).alias("page"), k.alias("seq"), x0.alias("x0"), y0.alias("y0"), (x0 + 20 + F.col("p_size") * 3).alias("x1"), (y0 + 8 + k % 11).alias("y1"))
+
+
+@query()
+def xy_cut_order(spark, sf_dir):
+    return layout.arranged(page_boxes(spark, sf_dir), ["page"], 1000.0, 1000.0).select("page", "seq", "place")
+
+
+@query()
+def box_clean(spark, sf_dir):
+    return layout.uncovered(page_boxes(spark, sf_dir), ["page"]).select("page", "seq")
+
+
+@query()
+def span_greedy(spark, sf_dir):
+    """Of each user's events as spans of half a minute, the best that do not overlap."""
+    at = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    spans = table(spark, sf_dir, "events").select("user_id", at.alias("start"), (at + 30).alias("stop"), F.col("value").cast("double").alias("score"), F.col("event_id").alias("seq"))
+    return layout.chosen_spans(spans, ["user_id"])
