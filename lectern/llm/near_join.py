@@ -32,35 +32,45 @@ def needed(a, b):
     return -((-4 * (a + b)) // 9)
 
 
-def shingle_sets(texts):
-    """The sorted distinct 64-bit shingle hashes of each of an Arrow array of texts."""
+def shingles(texts):
+    """All five-word shingles of an Arrow array of texts in order, hashed, and what tells the texts apart: ``h, words, edges``.
+
+    ``h[i]`` is the shingle that begins at word ``i``, whatever text its last word is in; text ``k`` has the words from ``edges[k]`` to ``edges[k + 1]``.
+    """
     import numpy as np
     import pyarrow.compute as pc
     import xxhash
 
     split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
     offsets = split.offsets.to_numpy()
-    edges = (offsets - offsets[0]).tolist()
     coded = split.flatten().dictionary_encode()
     told = coded.dictionary.to_pylist()
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in told), dtype="<u8", count=len(told))
-    empty = told.index("") if "" in told else -1
-    codes = coded.indices.to_numpy()
-    w = hashes[codes] if len(codes) else np.zeros(0, "<u8")
-    if len(w) >= 5:
-        h = w[:-4].copy()
-        for k in range(1, 5):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - 4 + k]
-        h = mixed(h)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, told), dtype="<u8", count=len(told))
+    if "" in told:  # the one word of a text without words
+        hashes[told.index("")] = 0
+    w = hashes[coded.indices.to_numpy()] if len(told) else np.zeros(0, "<u8")
+    h = w[: max(0, len(w) - 4)].copy()
+    for k in range(1, 5):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += w[k : len(h) + k]
+    return mixed(h), w, offsets - offsets[0]
+
+
+def shingle_sets(texts):
+    """The sorted distinct shingles of each of an Arrow array of texts; those of fewer words are one, those of none none."""
+    import numpy as np
+
+    h, w, edges = shingles(texts)
+    edges = edges.tolist()
     for a, b in zip(edges, edges[1:]):
         if b - a >= 5:
             yield np.unique(h[a : b - 4])
-        elif b - a == 0 or (b - a == 1 and codes[a] == empty):
+        elif b - a == 0 or (b - a == 1 and not w[a]):
             yield np.zeros(0, "<u8")
         else:
-            one = np.uint64(b - a)
-            for x in w[a:b]:
-                one = np.uint64((int(one) * 0x9E3779B97F4A7C15 + int(x)) & 0xFFFFFFFFFFFFFFFF)
+            one = b - a
+            for x in w[a:b].tolist():
+                one = (one * 0x9E3779B97F4A7C15 + x) & 0xFFFFFFFFFFFFFFFF
             yield mixed(np.array([one], dtype="<u8"))
 
 
@@ -182,9 +192,11 @@ def linked(a, b) -> bool:
 
 
 def common_shingles(src: DataFrame, n_docs: int) -> list[int]:
-    """Shingles in more than one document of ``RARE``: at most ``RARE`` times the mean set size, so they may be sent to all.
+    """Shingles that stand in the texts more often than once in ``RARE`` documents: at most ``RARE`` times a text's mean
+    number of words, so they may be sent to all.
 
-    A task tells of the shingles that are frequent in its own share; what it leaves out only makes the order a little worse.
+    A task tells of the shingles that are frequent in its own share: those whose bucket of a table of counts is full
+    are counted one by one. What it leaves out only makes the order a little worse.
     """
     import pyarrow as pa
 
@@ -193,21 +205,22 @@ def common_shingles(src: DataFrame, n_docs: int) -> list[int]:
 
         from lectern.llm.units import slices
 
-        kept, counts, docs = np.zeros(0, "<u8"), np.zeros(0, "<i8"), 0
+        bits = 1 << 20
         for batch in batches:
             for part in slices(batch):
-                found = list(shingle_sets(part.column(1)))
-                docs += len(found)
-                tokens, n = np.unique(np.concatenate(found), return_counts=True) if found else (kept[:0], counts[:0])
-                tokens, n = tokens[n > 1], n[n > 1]
-                merged, at = np.unique(np.concatenate([kept, tokens]), return_inverse=True)
-                counts = np.bincount(at, np.concatenate([counts, n]), len(merged)).astype("<i8")
-                kept = merged
-                if len(kept) > 2_000_000:
-                    good = counts > max(1, docs // (4 * RARE))
-                    kept, counts = kept[good], counts[good]
-        good = counts >= max(4, docs // (4 * RARE))
-        yield pa.RecordBatch.from_arrays([pa.array(kept[good].view("<i8")), pa.array(counts[good])], ["token", "n"])
+                h, _, edges = shingles(part.column(1))
+                ends = edges[1:]
+                whole = np.ones(len(h), dtype=bool)
+                over = (ends[:, None] - np.arange(1, 5)).ravel()
+                whole[over[(over >= 0) & (over < len(h))]] = False
+                h = h[whole]
+                least = max(4, len(edges) // (4 * RARE))
+                bucket = (h & np.uint64(bits - 1)).astype(np.int64)
+                full = np.bincount(bucket, minlength=bits) >= least
+                tokens, n = np.unique(h[full[bucket]], return_counts=True)
+                tokens, n = tokens[n >= least], n[n >= least]
+                if len(tokens):
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens.view("<i8")), pa.array(n)], ["token", "n"])
 
     sums = src.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     return [r["token"] for r in sums.filter(F.col("n") * RARE > n_docs).filter("n >= 16").select("token").toLocalIterator()]
@@ -242,6 +255,11 @@ def sets_of(src: DataFrame, common: list[int]) -> DataFrame:
     return src.mapInArrow(run, "id bigint, n bigint, digest binary, sig binary, prefix array<bigint>")
 
 
+def small(df: DataFrame, most: int = 400_000) -> DataFrame:
+    """A written table of ids to join whole texts with: sent to all tasks while it has few rows, else the texts are dealt by id."""
+    return F.broadcast(df) if df.count() <= most else df.hint("shuffle_hash")
+
+
 def groups(batches, keys: int):
     """Runs of rows with equal first ``keys`` columns from batches sorted by them; each run as a list of rows."""
     held, key = [], None
@@ -348,8 +366,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             ok = [linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    spark = pairs.sparkSession
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = texts.join(ids.hint("shuffle_hash"), "id", "left_semi").mapInArrow(to_sets, "id bigint, tokens binary")
+    ids = written(ids, scratch(spark, "compared"))
+    sets = texts.join(small(ids), "id", "left_semi").mapInArrow(to_sets, "id bigint, tokens binary")
+    sets = written(sets, scratch(spark, "compared-sets"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
@@ -380,11 +401,15 @@ def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n_docs = src.count()
-    sets = written(sets_of(src, common_shingles(src, n_docs)), scratch(spark, "sets"))
-    named = sets.filter(F.col("id").isNotNull() & (F.col("n") > 0))
+    full = written(sets_of(src, common_shingles(src, n_docs)), whole := scratch(spark, "sets"))
     # Equal sets have equal prefixes, so a representative is made by sums alone, map-side first.
-    reps = named.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
+    some = full.filter(F.col("id").isNotNull() & (F.col("n") > 0))
+    reps = some.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
     reps = written(reps, scratch(spark, "representatives"))
+    sets = written(full.select("id", "n", "digest"), scratch(spark, "digests"))
+    dropped(spark, whole)
+    release(spark)
+    named = sets.filter(F.col("id").isNotNull() & (F.col("n") > 0))
     postings = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = postings.groupBy("token").agg(F.min("id").alias("hub"), F.max("id").alias("other")).filter("hub < other").select("token", "hub")
     shared = written(postings.join(shared.hint("shuffle_hash"), "token"), scratch(spark, "postings"))
@@ -403,7 +428,7 @@ def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         if not raise_on_different_texts.isEmpty():
             return _with_row_ids(spark, docs, id_col, text_col)
         texts = texts.groupBy("id").agg(F.first("text").alias("text"))
-    links = written(block_links(texts.join(places.hint("shuffle_hash"), "id").select("hub", "part", "id", "text")), scratch(spark, "links"))
+    links = written(block_links(texts.join(small(places), "id").select("hub", "part", "id", "text")), scratch(spark, "links"))
     release(spark)
 
     found = components(spark, links)
