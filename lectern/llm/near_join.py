@@ -25,6 +25,8 @@ from lectern.llm.store import dropped, release, scratch, written
 
 #: Texts in a part of a block, about. A shingle in more than one of so many documents is put last.
 PART, RARE = 1000, 1000
+#: Bytes of text that are shingled at once.
+SLICE = 1 << 22
 
 
 def needed(a, b):
@@ -239,7 +241,7 @@ def sets_of(src: DataFrame, common: list[int]) -> DataFrame:
         from lectern.llm.units import slices
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 1, SLICE):
                 rows = []
                 for s in shingle_sets(part.column(1)):
                     n = len(s)
@@ -281,11 +283,13 @@ def block_links(texts: DataFrame) -> DataFrame:
     def run(batches):
         import numpy as np
 
+        from lectern.llm.units import slices
+
         def rows():  # texts become sets as they come
             for batch in batches:
-                sets = list(shingle_sets(batch.column(3)))
-                for h, p, i, s in zip(*(batch.column(c).to_pylist() for c in range(3)), sets):
-                    yield (h, p), i, s
+                for some in slices(batch, 3, SLICE):
+                    for h, p, i, s in zip(*(some.column(c).to_pylist() for c in range(3)), shingle_sets(some.column(3))):
+                        yield (h, p), i, s
 
         held, key = {}, None
 
@@ -356,7 +360,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         from lectern.llm.units import slices
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, batch.schema.get_field_index("text"), SLICE):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())], ["id", "tokens"])
 
     def compare(batches):
