@@ -455,6 +455,27 @@ def densify_rows(spark, sf_dir):
     return layout.dense_rows(sheet(spark, sf_dir)).withColumn("cells", F.array_join("cells", ","))
 
 
+def whole_sheet(spark, sf_dir):
+    """The cells of ``sheet`` from every row of lineitem."""
+    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 5).alias("sheet"), F.col("l_orderkey").alias("row"), (F.col("l_partkey") % 12).alias("col")).agg(F.max(F.col("l_partkey").cast("string")).alias("text"))
+
+
+WHOLE_SHEET = "c AS (SELECT l_suppkey % 5 AS sheet, l_orderkey AS row, l_partkey % 12 AS col, max(l_partkey::VARCHAR) AS text FROM lineitem GROUP BY 1, 2, 3)"
+
+
+@query("WITH " + WHOLE_SHEET + " SELECT sheet, row, col, CASE WHEN (sheet = 1 AND row BETWEEN 10 AND 90 AND col BETWEEN 2 AND 6) OR (sheet = 2 AND row BETWEEN 0 AND 40 AND col BETWEEN 0 AND 3) THEN '' ELSE text END AS text FROM c")
+def pivot_mask_whole(spark, sf_dir):
+    """``pivot_mask`` over the whole table; the ranges alone decide which cells are blank."""
+    ranges = spark.createDataFrame([(1, 10, 2, 90, 6), (2, 0, 0, 40, 3)], "sheet long, r0 long, c0 long, r1 long, c1 long")
+    return layout.masked(whole_sheet(spark, sf_dir), ranges)
+
+
+@query("WITH " + WHOLE_SHEET + ", r AS (SELECT sheet, row, max(col) AS w, map_from_entries(list((col, text))) AS m FROM c GROUP BY 1, 2) SELECT sheet, row, array_to_string(list_transform(range(0, w + 1), lambda i: coalesce(m[i], '')), ',') AS cells FROM r")
+def densify_rows_whole(spark, sf_dir):
+    """``densify_rows`` over the whole table."""
+    return layout.dense_rows(whole_sheet(spark, sf_dir)).withColumn("cells", F.array_join("cells", ","))
+
+
 def page_boxes(spark, sf_dir):
     k = F.col("p_partkey")
     x0, y0 = (k * 37 % 700).cast("double"), (k * 53 % 900).cast("double")
