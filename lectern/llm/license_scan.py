@@ -57,20 +57,28 @@ def normal_sentence(sentence: Column) -> Column:
     return F.btrim(F.regexp_replace(lower, "[^a-z0-9]+", " "))
 
 
+def openings(sentences: dict[str, str]) -> str:
+    """A pattern found in every raw text that holds a known sentence: its first two words, parted as ``normal_sentence`` allows."""
+    firsts: dict[str, set[str]] = {}
+    for s in sentences.values():
+        first, *rest = s.split()[:2]
+        firsts.setdefault(first, set()).update(rest)
+    return "(?i)(?<![A-Za-z0-9])(?:" + "|".join(f"{a}[^A-Za-z0-9]+(?:{'|'.join(sorted(b))})" for a, b in sorted(firsts.items())) + ")"
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, str, tuple[str, ...]]] = RULES) -> DataFrame:
     """``id, n_known, sentence_ids, licenses, rules`` of every row; narrow, no shuffle.
 
     A sentence ends at a line's end or at ``.``, ``!``, ``?`` or ``;`` before white space; it is
     compared whole. ``licenses`` is sorted and distinct, ``rules`` follows the rules' order. A null or empty text has
     none; null ids and repeated rows stay; columns other than id and text are not read. The
-    sentences and rules are constants of the plan, and only texts that hold one of their marking
-    words are split.
+    sentences and rules are constants of the plan, and only texts that hold the first two words of one,
+    whatever stands between them, are split.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     name_of = F.create_map(*[F.lit(x) for i, s in sentences.items() for x in (s, i)])
-    marks = "(?i)" + "|".join(["licen", "rights reserved", "permission is hereby", "redistribution and use", "this program is", "the software is provided", "you may "])
-    parts = F.when(text.rlike(marks), F.split(text, "\\n|(?<=[.!?;])[\\x20\\x09-\\x0D]+"))
-    known = F.filter(F.transform(F.filter(parts, lambda s: s.rlike("(?i)" + marks[4:])), lambda s: F.try_element_at(name_of, normal_sentence(s))), lambda x: x.isNotNull())
+    parts = F.when(text.rlike(openings(sentences)), F.split(text, "\\n|(?<=[.!?;])[\\x20\\x09-\\x0D]+"))
+    known = F.filter(F.transform(parts, lambda s: F.try_element_at(name_of, normal_sentence(s))), lambda x: x.isNotNull())
     df = docs.select(F.col(id_col), F.coalesce(known, F.array().cast("array<string>")).alias("sentence_ids"))
     chain = F.concat(F.lit("|"), F.array_join("sentence_ids", "||"), F.lit("|"))
     found = []
