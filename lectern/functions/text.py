@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import sys
 import unicodedata
 
@@ -57,6 +58,32 @@ def node_name(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(text)), r"(?U)\s+", " ")
 
 
+TERM_LEAST, TERM_LEAST_WIDE = 3, 2
+
+
+def plain_name(text: str) -> str:
+    """``node_name`` of a plain string, in NFKC."""
+    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text).strip().lower())
+
+
+def is_wide(text: str) -> bool:
+    return any(unicodedata.east_asian_width(c) in "WF" for c in text)
+
+
+def anchored(text: Column, terms: list[str]) -> Column:
+    """Whether a text in NFKC holds a term: wide ones anywhere, others where a word begins; short ones don't count (P10)."""
+    plain, names = node_name(text), [plain_name(t) for t in terms]
+    wide = [t for t in names if is_wide(t) and len(t) >= TERM_LEAST_WIDE]
+    other = [re.sub(r"([^\w\s])", r"\\\1", t) for t in names if not is_wide(t) and len(t) >= TERM_LEAST]
+    held = [plain.contains(t) for t in wide] + ([plain.rlike(r"(?U)\b(?:" + "|".join(other) + ")")] if other else [])
+    return F.coalesce(functools.reduce(lambda a, b: a | b, held), F.lit(False)) if held else F.lit(False)
+
+
+def anchor_impossible(text: Column, terms: list[str]) -> Column:
+    """Whether all terms are wide and the text has no wide character, so that none could be held."""
+    return F.coalesce(~text.rlike(wide_class()), F.lit(True)) if terms and all(map(is_wide, terms)) else F.lit(False)
+
+
 def words(text: Column) -> Column:
     """Words, hyphenated ones whole, and single marks."""
     return F.regexp_extract_all(text, F.lit(r"(?U)\w+(?:[-_]\w+)*|[^\w\s]"), F.lit(0))

@@ -22,7 +22,7 @@ def fused(candidates: DataFrame, query: str = "query_id", seq: str = "seq") -> D
     return out.withColumn("fusion", 1 / (FUSION + F.col("rank_distance")) + 1 / (FUSION + F.col("rank_score")))
 
 
-def gated(candidates: DataFrame, query: str = "query_id", file: str = "file_id", least: float = SCORE_LEAST) -> DataFrame:
+def gated(candidates: DataFrame, query: str = "query_id", file: str = "file_id", least: float | Column = SCORE_LEAST) -> DataFrame:
     """Keep the rows of files whose best score reaches the ratio of the query's best, if any row of such a file passes ``least``."""
     of_file = F.greatest(F.max("score").over(Window.partitionBy(query, file)), F.lit(0.0))
     of_query = F.greatest(F.max("score").over(Window.partitionBy(query)), F.lit(0.0))
@@ -31,7 +31,7 @@ def gated(candidates: DataFrame, query: str = "query_id", file: str = "file_id",
     return out.withColumn("_open", opens).filter("_open and _near").drop("_file", "_all", "_near", "_open")
 
 
-def cited(candidates: DataFrame, query: str = "query_id", file: str = "file_id", seq: str = "seq", least: float = SCORE_LEAST, most: int = CITATIONS) -> DataFrame:
+def cited(candidates: DataFrame, query: str = "query_id", file: str = "file_id", seq: str = "seq", least: float | Column = SCORE_LEAST, most: int = CITATIONS) -> DataFrame:
     """Fusion over all candidates, gate, then the first rows by fusion."""
     kept = gated(fused(candidates, query, seq), query, file, least)
     place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("fusion"), "rank_distance", seq))

@@ -236,6 +236,13 @@ def lexical_contains(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(text.contains("100%_") | text.contains("%%%")).select("doc_id")
 
 
+@query(r"""SELECT doc_id FROM documents WHERE regexp_matches(lower(coalesce(text, '')), '(?:^|[^\p{L}\p{N}\p{M}_])(?:licen|haen|token)')""")
+def anchor_filter(spark, sf_dir):
+    """Documents that hold an anchor term, or can't hold any."""
+    terms = ["licen", "haen", "Token", "ab"]
+    return table(spark, sf_dir, "documents").filter(T.anchored(F.col("text"), terms) | T.anchor_impossible(F.col("text"), terms)).select("doc_id")
+
+
 @query("""WITH t AS (SELECT unnest(['license', 'the and', 'token']) AS term)
 SELECT term, source, doc_id FROM t JOIN documents ON contains(lower(text), term) QUALIFY row_number() OVER (PARTITION BY term, source ORDER BY length(text), doc_id) = 1""")
 def distinct_on_file_term(spark, sf_dir):

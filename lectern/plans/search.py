@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.text import node_name
+from lectern.functions.text import anchor_impossible, anchored, node_name
 from lectern.models import Embedder, Reranker, Tagger
 from lectern.operators import chunk, graph, rank
 from lectern.operators.vector import first_in, knn, l2, nearest_per_group
@@ -98,7 +98,8 @@ def search(spark: SparkSession, store: Store, tenant: str, prompt: str, entities
     names = seed_names(store, tenant, entities, embedder, reranker, literal)
     seed_files = store.table("nodes", tenant).filter(F.col("name_normalized").isin(names)).select("file_id").distinct() if names else None
 
-    near = knn(chunks, query, POOL, "key").filter(F.col("distance") <= rank.GATE).withColumn("source", F.lit(1))
+    anchors = [*entities, *full.split()]
+    near = knn(chunks, query, POOL, "key").filter((F.col("distance") <= rank.GATE) | anchored(F.col("chunk"), anchors) | anchor_impossible(F.col("chunk"), anchors)).withColumn("source", F.lit(1))
     some = near.select("key", "file_id", "chunk", "distance", "source")
     if seed_files is not None:
         some = some.union(nearest_per_group(chunks.join(seed_files, "file_id", "left_semi").select("key", "file_id", "chunk", "embedding"), query, "file_id", "key").withColumn("source", F.lit(2)).select(some.columns))
@@ -107,7 +108,7 @@ def search(spark: SparkSession, store: Store, tenant: str, prompt: str, entities
         hits = chunks.withColumn("distance", l2(F.col("embedding"), query)).select("key", "file_id", "chunk", "distance", F.explode(F.filter(F.array(*map(F.lit, terms)), lambda t: F.lower("chunk").contains(t))).alias("term"))
         some = some.union(first_in(hits, ["term", "file_id"], ["distance", "key"]).withColumn("source", F.lit(3)).select(some.columns))
     some = first_in(some, ["file_id", "chunk"], ["source", "distance", "key"]).withColumn("query_id", F.lit(0))
-    least = rank.SCORE_LEAST if names else rank.SCORE_LEAST_ALONE
+    least = rank.SCORE_LEAST if names else F.when(anchored(F.col("chunk"), entities), rank.SCORE_LEAST).otherwise(rank.SCORE_LEAST_ALONE)
     cited = rank.cited(scored(some, full, F.col("chunk"), reranker), seq="key", least=least)
     citations = cited.join(files, "file_id").select("place", "file", "chunk", "distance", "score", "fusion")
 
