@@ -12,8 +12,8 @@ def l2(a: Column, b: Column) -> Column:
 
 
 def knn(rows: DataFrame, query: Column, k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """The ``k`` nearest rows to one vector; ties by id. Plans as a top-k per task and one merge."""
-    return rows.withColumn("distance", l2(F.col(vector_col), query)).orderBy("distance", id_col).limit(k)
+    """The ``k`` nearest rows to one vector; ties by id; rows without a vector are none. Plans as a top-k per task and one merge."""
+    return rows.filter(F.col(vector_col).isNotNull()).withColumn("distance", l2(F.col(vector_col), query)).orderBy("distance", id_col).limit(k)
 
 
 def first_in(rows: DataFrame, by: list[str], order: list[Column | str]) -> DataFrame:
@@ -24,8 +24,8 @@ def first_in(rows: DataFrame, by: list[str], order: list[Column | str]) -> DataF
 
 
 def nearest_per_group(rows: DataFrame, query: Column, group: str, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """The nearest row of each group (W2), without a window over whole groups."""
-    return first_in(rows.withColumn("distance", l2(F.col(vector_col), query)), [group], ["distance", id_col])
+    """The nearest row of each group (W2), without a window over whole groups; rows without a vector are none."""
+    return first_in(rows.filter(F.col(vector_col).isNotNull()).withColumn("distance", l2(F.col(vector_col), query)), [group], ["distance", id_col])
 
 
 def batch_knn(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:

@@ -16,6 +16,8 @@ from lectern.operators.vector import first_in, knn, l2, nearest_per_group
 from lectern.sources.store import Store
 
 POOL, NODE_POOL, NODES, SHORTEST = 24, 12, 8, 3
+#: The distance of a chunk without a vector: that of opposite unit vectors.
+FURTHEST = 2.0
 
 
 def embedded(rows: DataFrame, text: Column, model: Embedder, mode: str = "document") -> DataFrame:
@@ -53,9 +55,12 @@ def mentions_of(chunks: DataFrame, tagger: Tagger) -> DataFrame:
 
 
 def ingest(spark: SparkSession, store: Store, tenant: str, name: str, text: str, embedder: Embedder, tagger: Tagger) -> str:
-    """Store one text under a name: chunks, nodes and edges with their vectors. A complete file is left alone."""
-    if store.file_id(tenant, name):
-        return "ok"
+    """Store one text under a name: chunks, nodes and edges with their vectors. A complete file is left alone; one whose chunks lack vectors is stored again."""
+    file_id = store.file_id(tenant, name)
+    if file_id:
+        if store.table("chunks", tenant).filter((F.col("file_id") == file_id) & F.col("embedding").isNull()).isEmpty():
+            return "ok"
+        store.delete(tenant, name)
     plain = unicodedata.normalize("NFKC", text)
     of = lambda some: spark.createDataFrame([(i, c) for i, c in enumerate(some)], "chunk_id long, chunk string")
     chunks = embedded(of(chunk.citation_chunks(plain)), F.col("chunk"), embedder).select(F.col("chunk_id").alias("id"), "chunk", "embedding")
@@ -105,7 +110,7 @@ def search(spark: SparkSession, store: Store, tenant: str, prompt: str, entities
         some = some.union(nearest_per_group(chunks.join(seed_files, "file_id", "left_semi").select("key", "file_id", "chunk", "embedding"), query, "file_id", "key").withColumn("source", F.lit(2)).select(some.columns))
     terms = [e.lower() for e in entities if len(e) >= SHORTEST]
     if terms:
-        hits = chunks.withColumn("distance", l2(F.col("embedding"), query)).select("key", "file_id", "chunk", "distance", F.explode(F.filter(F.array(*map(F.lit, terms)), lambda t: F.lower("chunk").contains(t))).alias("term"))
+        hits = chunks.withColumn("distance", F.coalesce(l2(F.col("embedding"), query), F.lit(FURTHEST))).select("key", "file_id", "chunk", "distance", F.explode(F.filter(F.array(*map(F.lit, terms)), lambda t: F.lower("chunk").contains(t))).alias("term"))
         some = some.union(first_in(hits, ["term", "file_id"], ["distance", "key"]).withColumn("source", F.lit(3)).select(some.columns))
     some = first_in(some, ["file_id", "chunk"], ["source", "distance", "key"]).withColumn("query_id", F.lit(0))
     least = rank.SCORE_LEAST if names else F.when(anchored(F.col("chunk"), entities), rank.SCORE_LEAST).otherwise(rank.SCORE_LEAST_ALONE)

@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import base_name
-from lectern.operators.chunk import chunked
+from lectern.models import CapitalTagger, Embedder, HashingEmbedder, Tagger
+from lectern.plans.search import ingest
 from lectern.sources.store import Store
 
 
-def ingest_stream(spark: SparkSession, folder: str, store: Store, tenant: str, checkpoint: str, pattern: str = "*.md"):
-    """A query that stores each new text file's chunks. A file is stored once, whatever is replayed."""
+def ingest_stream(spark: SparkSession, folder: str, store: Store, tenant: str, checkpoint: str, pattern: str = "*.md", embedder: Embedder | None = None, tagger: Tagger | None = None):
+    """A query that ingests each new text file: chunks, graph and vectors. A file is stored once, whatever is replayed.
+
+    Without models, the deterministic stand-ins are taken.
+    """
+    embedder, tagger = embedder or HashingEmbedder(), tagger or CapitalTagger()
     files = spark.readStream.schema("value string").option("pathGlobFilter", pattern).option("wholetext", "true").text(folder)
     named = files.select(base_name(F.col("_metadata.file_path")).alias("name"), F.col("value").alias("text"))
 
     def put(batch: DataFrame, _: int) -> None:
-        for row in batch.select("name").distinct().toLocalIterator():
-            some = batch.filter(F.col("name") == row["name"])
-            chunks = chunked(some, "citation", id_col="name").select(F.col("seq").alias("id"), "chunk", F.lit(None).cast("array<float>").alias("embedding"))
-            store.put(tenant, row["name"], {"chunks": chunks})
+        for row in batch.toLocalIterator():
+            ingest(spark, store, tenant, row["name"], row["text"], embedder, tagger)
 
     return named.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
