@@ -35,12 +35,15 @@ PROPOSED: dict[str, str] = {
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9]{4}(?:[.\x20-]{1,3}[0-9]{4}){2,3}(?:[.\x20-]{1,3}[0-9]{1,4})?(?![0-9])",
     "phone": r"(?<![0-9+(])(?:\(?[0-9]{2,4}\)?[\x20.-]{1,2}){1,3}[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?:password|passwd|token|secret|api_?key)\x20{0,3}[=:]\x20{0,3}[\x22\x27]?[^\x20\x09-\x0D\x22\x27]{8,})",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?i:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|private[_-]?key)[\x22\x27]?\x20{0,3}[=:]\x20{0,3}[\x22\x27]?[^\x20\x09-\x0D\x22\x27]{8,})",
+    "iban": r"(?i)(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ssn": r"(?<![0-9-])[0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}(?![0-9-])",
 }
-KINDS = ["email", "ip", "card", "phone", "secret", "iban"]
+KINDS = ["email", "ip", "card", "phone", "secret", "iban", "ssn"]
 #: Words before a candidate that speak for personal data.
-CUES = r"(?i)(?:mail|contact|phone|tel|call|fax|mobile|card|visa|account|iban|ip|host|address|password|token|secret|key)[\x20:=.#]*$"
+FILLER = r"(?:[\x20:=.#]+(?:me|us|at|on|is|no|number|under))*[\x20:=.#]*$"
+CUES = r"(?i)(?:mail|contact|phone|tel|call|fax|mobile|card|visa|account|iban|ip|host|address|password|token|secret|key|ssn|social security|insurance)" + FILLER
+PHONE_CUES, SSN_CUES = r"(?i)\b(?:phone|telephone|tel|call|fax|mobile|cell)" + FILLER, r"(?i)\b(?:ssn|social security|insurance)" + FILLER
 #: What a text must hold before a pattern is tried on it.
 NEEDS = {"email": "@", "phone": "+"}
 BLOCK = 64
@@ -95,7 +98,7 @@ SPANS = "array<struct<kind:string,start:int,stop:int,match:string,before:string,
 
 #: Features of a candidate, each a small integer: name -> (count of values, expression of the span).
 FEATURES: dict[str, tuple[int, object]] = {
-    "kind": (6, lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).cast("int") - 1),
+    "kind": (7, lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).cast("int") - 1),
     "digits": (7, lambda s: _bins(F.length(digits(s["match"])), (1, 7, 9, 12, 16, 20))),
     "length": (5, lambda s: _bins(F.length(s["match"]), (8, 16, 24, 40))),
     "letters": (4, lambda s: _bins(F.length(F.regexp_replace(s["match"], "[^A-Za-z]", "")), (1, 6, 16))),
@@ -122,8 +125,9 @@ def confirmed(s: Column) -> Column:
         F.when(s["kind"] == "email", m.rlike(r"(?i)[a-z0-9](?:@|\x20?[\[({]at[\])}]\x20?)[a-z0-9]") & m.rlike(r"(?i)[.\])}]\x20?[a-z]{2,12}$"))
         .when(s["kind"] == "ip", m.rlike(r"^[0-9.]+$") & passes("ip", m) | m.rlike(r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$"))
         .when(s["kind"] == "card", passes("card", m))
-        .when(s["kind"] == "phone", n.between(9, 15) & (m.startswith("+") | m.rlike(r"^\([0-9]{3}\)\x20[0-9]{3}-[0-9]{4}$")))
-        .when(s["kind"] == "secret", m.startswith("AKIA") | (F.length(value) >= 12) & value.rlike("[0-9]") & value.rlike("[A-Za-z]"))
+        .when(s["kind"] == "phone", n.between(9, 15) & (m.startswith("+") | m.rlike(r"^\([0-9]{3}\)\x20[0-9]{3}-[0-9]{4}$") | s["before"].rlike(PHONE_CUES)))
+        .when(s["kind"] == "secret", m.startswith("AKIA") | (F.length(value) >= 12) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") | value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[^A-Za-z]") | m.rlike("^[A-Z_-]+=") & ~value.rlike(r"^[<$%{(]"))
+        .when(s["kind"] == "ssn", m.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$") | s["before"].rlike(SSN_CUES))
         .when(s["kind"] == "iban", F.length(iban).between(15, 34) & (F.length(digits(iban)) >= 10))
         .otherwise(False)
     )
@@ -226,7 +230,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     df = docs.select(F.col(id_col).alias("id"), text.alias("text"), *([F.struct("*").alias("row")] if whole else []))
     has_digit = F.when(F.col("text").rlike("[0-9]"), F.col("text"))
     raw = [placed(F.col("text") if k == "email" else has_digit, p, k, NEEDS.get(k)) for k, p in BASE.items()]
-    more = [placed(F.when(F.col("text").rlike(r"(?i)[\[({\x20]at[\])}\x20]"), F.col("text")) if k == "email" else has_digit, p, k) for k, p in PROPOSED.items()]
+    on = {"email": F.when(F.col("text").rlike(r"(?i)[\[({\x20]at[\])}\x20]"), F.col("text")), "secret": F.col("text")}
+    more = [placed(on.get(k, has_digit), p, k) for k, p in PROPOSED.items()]
     df = df.select(*kept, *[r.alias(f"base_{k}") for k, r in zip(BASE, raw)], *[m.alias(f"more_{k}") for k, m in zip(PROPOSED, more)])
     base = F.concat(*[F.filter(f"base_{k}", _passing(k, True)) for k in BASE])
     failed = [F.filter(f"base_{k}", _passing(k, False)) for k in BASE if k != "email"]
@@ -244,25 +249,30 @@ def fitted(found: DataFrame, precision: float = 0.97) -> Trees:
 
 
 def selected(found: DataFrame, model: Trees) -> DataFrame:
-    """``id, base, added``: candidates over the threshold that touch no base span and, of those that overlap, the longest first."""
+    """``id, base, picked, added``: candidates over the threshold, and those of them that touch no base span, the longest first, each that touches none taken before."""
     picked = F.filter("proposed", lambda s: model.column(s) >= model.limit) if math.isfinite(model.limit) else F.slice("proposed", 1, 0)
     touches = lambda a, b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])
     free = F.when(F.size("picked") > 0, F.filter("picked", lambda s: ~F.exists("base", lambda b: touches(s, b)))).otherwise(F.col("picked"))
-    wins = lambda a, b: F.struct(a["stop"] - a["start"], -a["start"], a["span"]) > F.struct(b["stop"] - b["start"], -b["start"], b["span"])
+    ranked = lambda spans: F.transform(F.array_sort(F.transform(spans, lambda s: F.struct((s["start"] - s["stop"]).alias("n"), s["start"].alias("at"), s["span"].alias("kind"), s.alias("s")))), lambda t: t["s"])
+    greedy = lambda spans: F.aggregate(ranked(spans), F.filter(spans, lambda s: F.lit(False)), lambda a, s: F.when(F.exists(a, lambda o: touches(s, o)), a).otherwise(F.concat(a, F.array(s))))
     df = found.withColumn("picked", picked).withColumn("free", free)
-    df = df.withColumn("added", F.when(F.size("free") > 1, F.filter("free", lambda s: ~F.exists("free", lambda o: touches(s, o) & wins(o, s)))).otherwise(F.col("free")))
-    return df.select("id", "base", F.array_distinct("added").alias("added"), *([F.col("row")] if "row" in df.columns else []))
+    df = df.withColumn("free", F.array_distinct("free"))
+    # Only spans that meet another are dealt one by one.
+    meets = lambda s: F.exists("free", lambda o: touches(s, o) & ((s["start"] != o["start"]) | (s["stop"] != o["stop"]) | (s["span"] != o["span"])))
+    df = df.withColumn("met", F.when(F.size("free") > 1, F.filter("free", meets)).otherwise(F.slice("free", 1, 0)))
+    df = df.withColumn("added", F.when(F.size("met") > 0, F.concat(F.filter("free", lambda s: ~meets(s)), greedy(F.col("met")))).otherwise(F.col("free")))
+    return df.select("id", "base", "picked", "added", *([F.col("row")] if "row" in df.columns else []))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.97) -> DataFrame:
-    """``docs`` with ``<KIND>`` in place of every span, base or added; spans that overlap make one mark, of the first's kind.
+    """``docs`` with ``<KIND>`` in place of every span, base or picked; spans that overlap make one mark, of the first's kind.
 
     Rows without spans, null texts among them, stay as they are. Texts are scanned twice, once to count the candidates and once to
     put in the marks, rather than stored a second time.
     """
     model = fitted(candidates(docs, id_col, text_col), precision)
     df = selected(candidates(docs, id_col, text_col, whole=True), model)
-    order = F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["span"]).alias("k"), s["stop"].alias("stop"), s["span"].alias("span")))
+    order = F.transform(F.concat("base", "picked"), lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["span"]).alias("k"), s["stop"].alias("stop"), s["span"].alias("span")))
     df = df.select("row", F.array_sort(order).alias("spans"))
     # Runs of spans that overlap: the first of each, with the greatest stop so far before it.
     reach = F.aggregate("spans", F.struct(F.lit(0).alias("stop"), F.array().cast("array<struct<start:int,stop:int,span:string>>").alias("runs")), lambda a, s: F.struct(
