@@ -63,25 +63,36 @@ class UnitCoder:
         return self.whole(text) if not text or max(text) >= LATIN or any(s in text for s in self.special) else self.matches(self.find(text))
 
     def learn(self, words: list[str]) -> list:
-        """Values of new units, a space before each; all plain ones are split in one go."""
-        plain = [w for w in words if w and max(w) < LATIN]
-        out, pieces, piece, total = {}, self.pieces, self.piece, self.total
+        """Values of new units, a space before each; all plain ones are split in one go.
+
+        A word that begins with white space is the first of its text (a space before it would make the text odd), so it
+        is no unit and its value is never asked for; beside a word that ends in white space it would swallow the space between.
+        """
+        plain = [w for w in words if w and max(w) < LATIN and not w[0].isspace()]
+        out = {}
         for k in range(0, len(plain), 5000):
-            some, values, at = plain[k : k + 5000], [], -1
-            for p in self.find(" " + " ".join(some)):
-                if (v := pieces.get(p)) is None:
-                    v = piece(p)
-                    if len(p) <= UNIT_CHARS:
-                        pieces[p] = v
-                if p[0] == " ":
-                    if at >= 0:
-                        out[some[at]] = values[0] if len(values) == 1 else total(values)
-                    at, values = at + 1, [v]
-                else:
-                    values.append(v)
-            out[some[at]] = total(values)
-            assert at == len(some) - 1, "a space that begins no piece"
-        return [out[w] if w in out else self.whole(" " + w) for w in words]
+            out.update(self.side_by_side(plain[k : k + 5000]))
+        return [out[w] if w in out else self.total([]) if w and w[0].isspace() else self.whole(" " + w) for w in words]
+
+    def side_by_side(self, words: list[str]) -> dict:
+        """Values of plain units, split as one text; should a space in it begin no piece, each is taken by itself."""
+        pieces, piece, total = self.pieces, self.piece, self.total
+        out, values, at = {}, [], -1
+        for p in self.find(" " + " ".join(words)):
+            if (v := pieces.get(p)) is None:
+                v = piece(p)
+                if len(p) <= UNIT_CHARS:
+                    pieces[p] = v
+            if p[0] == " ":
+                if at >= 0:
+                    out[words[at]] = values[0] if len(values) == 1 else total(values)
+                at, values = at + 1, [v]
+            else:
+                values.append(v)
+        if at != len(words) - 1:
+            return {w: self.whole(" " + w) for w in words}
+        out[words[at]] = total(values)
+        return out
 
     def coded(self, texts):
         """``values, codes, offsets`` of an Arrow array of texts: text ``i`` is ``values[c] for c in codes[offsets[i]:offsets[i + 1]]``."""

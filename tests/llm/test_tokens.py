@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -51,6 +52,36 @@ def test_backtracking_equals_library():
         assert [coder.decode(g).decode() for g in got] == texts
 
 
+WHITE = ["\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", " ", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "\r\n", "\n\n"]
+
+
+def white_ends(seed, n=400):
+    """Texts that begin and end with each white-space character, in one batch."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcde'st129.,\xe9\u65e5") for _ in range(rng.randint(0, 4)))
+    out = ["a b\n", "\nc d", "hello world\n", "\tfoo bar", "One line.\r\n", "\r\nNext"]
+    for w in WHITE:
+        out += [f"a b{w}", f"{w}c d", f"{w}e{w}", f"x {w}", f"{w} y", w]
+    while len(out) < n:
+        inner = rng.choice([" ", " ", " ", *WHITE]).join(word() for _ in range(rng.randint(1, 6)))
+        out.append(rng.choice(["", *WHITE]) + inner + rng.choice(["", *WHITE]))
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_white_space_at_both_ends(library, seed):
+    texts = white_ends(seed)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids_of(LibraryIds(VOCABULARY), texts) == want
+    assert MergeCounts(VOCABULARY).counts(pa.array(texts)).tolist() == [len(w) for w in want]
+    coder = Backtracking(RANKS, P.PATTERN)
+    told = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    got = ids_of(coder, texts)
+    assert got == [told.encode_ordinary(t) for t in texts]
+    assert [coder.decode(g).decode() for g in got] == texts
+
+
 def test_counts(spark, edges, none, library):
     got = collections.Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(edges, VOCABULARY).collect())
     want = collections.Counter()
