@@ -10,14 +10,21 @@ sizes, can link, or when all below is one component already.
 
 1. ``sets``: each text's size, digest, signature and prefix. Equal sets become one representative.
 2. Blocks: each representative goes to the least representative with which it shares a prefix shingle.
-   Blocks are dealt in parts of about ``PART`` texts, each with the block's hub, and a tree joins each part.
-3. The rest: prefix shingles that still touch two components. Their representatives' signatures meet; pairs that
-   sizes, places and bitmaps allow are compared in full. With this no link between components is lost.
+   Blocks are dealt in parts of about ``part`` texts, each with the block's hub, and a tree joins each part.
+3. The rest: prefix shingles that still touch two components. Their representatives' signatures meet in trees of about ``part``
+   members; a shingle of more is dealt in bands of size and parts of bands, and two parts are joined tree
+   against tree. Members of the component that has most of a shingle never meet each other. What the bounds allow is compared in full.
+   A task names at most some pairs for each two components; a shingle of which more is left comes again, with its
+   components as they are then, and with a larger number, until none is left. So no link between components is lost.
 4. Links' components, the least id reachable, by alternating stars.
+
+The plan is the same at every size. Nothing is broadcast but the list of common shingles, of ``COMMON`` numbers at most.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +32,16 @@ from lectern.llm.store import dropped, release, scratch, written
 
 #: Texts in a part of a block, about. A shingle in more than one of so many documents is put last.
 PART, RARE = 1000, 1000
+#: Shingles that are put last, at most: the most frequent. Any order of shingles gives the same links.
+COMMON = 1_000_000
+#: Shingles in a part of a block, about (a part has a text at least).
+PART_SHINGLES = 2_000_000
 #: Bytes of text that are shingled at once.
 SLICE = 1 << 22
+#: Bits of a signature at most, so that a part's signatures stay small whatever its texts; wider sets hide more.
+BITS = 1 << 15
+#: Pairs that a task first names for each two components.
+FIRST_PAIRS = 4
 
 
 def needed(a, b):
@@ -85,21 +100,15 @@ def mixed(h):
 
 
 def signature(tokens):
-    """Bitmap of a set, of twice as many bits as tokens or more, a power of two; a wider one folds onto a narrower."""
+    """Bitmap of a set, of twice as many bits as tokens or more (up to ``BITS``), a power of two; a wider one folds onto a narrower."""
     import numpy as np
 
-    bits = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    bits = min(BITS, max(64, 1 << (2 * len(tokens) - 1).bit_length()))
     flags = np.zeros(bits, dtype=bool)
     flags[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(flags, bitorder="little").view("<u8")
 
 
-def folded(sig, words: int):
-    import numpy as np
-
-    return sig if len(sig) <= words else np.bitwise_or.reduce(sig.reshape(-1, words), axis=0)
-
-
 class Node:
     __slots__ = ("bits", "hidden", "kids", "items", "least", "most", "one")
 
@@ -193,9 +202,9 @@ def linked(a, b) -> bool:
     return len(np.intersect1d(a, b, assume_unique=True)) >= needed(len(a), len(b))
 
 
-def common_shingles(src: DataFrame, n_docs: int) -> list[int]:
-    """Shingles that stand in the texts more often than once in ``RARE`` documents: at most ``RARE`` times a text's mean
-    number of words, so they may be sent to all.
+def common_shingles(src: DataFrame, n_docs: int, rare: int = RARE) -> list[int]:
+    """Shingles that stand in the texts more often than once in ``rare`` documents, the ``COMMON`` most frequent of them
+    at most, so they may be sent to all.
 
     A task tells of the shingles that are frequent in its own share: those whose bucket of a table of counts is full
     are counted one by one. What it leaves out only makes the order a little worse.
@@ -216,7 +225,7 @@ def common_shingles(src: DataFrame, n_docs: int) -> list[int]:
                 over = (ends[:, None] - np.arange(1, 5)).ravel()
                 whole[over[(over >= 0) & (over < len(h))]] = False
                 h = h[whole]
-                least = max(4, len(edges) // (4 * RARE))
+                least = max(4, len(edges) // (4 * rare))
                 bucket = (h & np.uint64(bits - 1)).astype(np.int64)
                 full = np.bincount(bucket, minlength=bits) >= least
                 tokens, n = np.unique(h[full[bucket]], return_counts=True)
@@ -225,7 +234,8 @@ def common_shingles(src: DataFrame, n_docs: int) -> list[int]:
                     yield pa.RecordBatch.from_arrays([pa.array(tokens.view("<i8")), pa.array(n)], ["token", "n"])
 
     sums = src.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    return [r["token"] for r in sums.filter(F.col("n") * RARE > n_docs).filter("n >= 16").select("token").toLocalIterator()]
+    often = sums.filter(F.col("n") * rare > n_docs).filter("n >= 16").orderBy(F.desc("n"), "token").limit(COMMON)
+    return [r["token"] for r in often.select("token").collect()]
 
 
 def sets_of(src: DataFrame, common: list[int]) -> DataFrame:
@@ -257,25 +267,6 @@ def sets_of(src: DataFrame, common: list[int]) -> DataFrame:
     return src.mapInArrow(run, "id bigint, n bigint, digest binary, sig binary, prefix array<bigint>")
 
 
-def small(df: DataFrame, most: int = 400_000) -> DataFrame:
-    """A written table of ids to join whole texts with: sent to all tasks while it has few rows, else the texts are dealt by id."""
-    return F.broadcast(df) if df.count() <= most else df.hint("shuffle_hash")
-
-
-def groups(batches, keys: int):
-    """Runs of rows with equal first ``keys`` columns from batches sorted by them; each run as a list of rows."""
-    held, key = [], None
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[:keys] != key:
-                if held:
-                    yield key, held
-                held, key = [], row[:keys]
-            held.append(row)
-    if held:
-        yield key, held
-
-
 def block_links(texts: DataFrame) -> DataFrame:
     """Links within the parts of blocks; ``texts``: ``hub, part, id, text``."""
     import pyarrow as pa
@@ -312,48 +303,268 @@ def block_links(texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def possible_pairs(postings: DataFrame) -> DataFrame:
-    """Pairs of different components that may link, from ``token, n, pos, comp, id, sig``; each is told by its first shared token's group or more."""
+class Signatures:
+    """Rows of a task's shingles, ``token, task, other, id, n, pos, comp, sig``, as arrays, and the pairs of them that may link."""
+
+    #: Members below a lowest node of a tree; nodes below a higher one; words of bitmaps compared at once.
+    LEAF, FANOUT, WORDS = 32, 8, 1 << 20
+
+    def __init__(self, table) -> None:
+        import numpy as np
+
+        column = lambda name: table.column(name).combine_chunks()
+        self.token, self.task, self.id, self.n, self.pos, self.comp = (column(c).to_numpy(zero_copy_only=False) for c in ("token", "task", "id", "n", "pos", "comp"))
+        self.other = column("other").to_numpy(zero_copy_only=False).astype(bool)
+        sig = column("sig")
+        edges = np.frombuffer(sig.buffers()[1], "<i4")[sig.offset : sig.offset + len(sig) + 1].astype(np.int64)
+        self.words = np.frombuffer(sig.buffers()[2] or b"", "u1", count=edges[-1])[edges[0] :].copy().view("<u8")
+        self.at, self.width = (edges[:-1] - edges[0]) // 8, np.diff(edges) // 8
+
+    def bits(self, rows, width: int):
+        """The rows' bitmaps at this width; all rows have one width, which is no less."""
+        import numpy as np
+
+        own = int(self.width[rows[0]]) if len(rows) else width
+        out = self.words[self.at[rows][:, None] + np.arange(own)]
+        return out if own == width else np.bitwise_or.reduce(out.reshape(len(rows), own // width, width), axis=1)
+
+    def possible(self, i, j):
+        """Of pairs of rows those that components, sizes, places and bitmaps allow to link, with the overlap that they allow beyond the needed."""
+        import numpy as np
+
+        n, pos = self.n, self.pos
+        ok = (self.comp[i] != self.comp[j]) & (4 * n[i] <= 5 * n[j]) & (4 * n[j] <= 5 * n[i])
+        i, j = i[ok], j[ok]
+        least = needed(n[i], n[j])
+        ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least
+        i, j, least = i[ok], j[ok], least[ok]
+        spare = np.full(len(i), -1)
+        kinds = self.width[i] * 65536 + self.width[j]
+        for kind in np.unique(kinds):
+            all_of = np.flatnonzero(kinds == kind)
+            w = int(min(kind // 65536, kind % 65536))
+            step = max(1, self.WORDS // int(max(kind // 65536, kind % 65536)))
+            for k in range(0, len(all_of), step):
+                some = all_of[k : k + step]
+                x, y = self.bits(i[some], w), self.bits(j[some], w)
+                hidden = np.minimum(n[i[some]] - np.bitwise_count(x).sum(axis=1, dtype=np.int64), n[j[some]] - np.bitwise_count(y).sum(axis=1, dtype=np.int64))
+                spare[some] = np.bitwise_count(x & y).sum(axis=1, dtype=np.int64) + hidden - least[some]
+        ok = spare >= 0
+        return i[ok], j[ok], spare[ok]
+
+    def tree(self, rows, width: int) -> list[dict]:
+        """Levels of a signature tree over rows of one width, from its lowest nodes up; level 0 has the rows' order too."""
+        import numpy as np
+
+        bits = self.bits(rows, width)
+        first = np.where(bits != 0, np.arange(width) * 64 + np.bitwise_count((bits & (~bits + np.uint64(1))) - np.uint64(1)), 1 << 40).min(axis=1)
+        order = np.lexsort((self.n[rows], first))
+        rows, bits = rows[order], bits[order]
+        n = self.n[rows]
+        level = {"bits": bits, "least": n, "most": n, "hidden": n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), "low": self.comp[rows], "high": self.comp[rows]}
+        levels, fan = [], self.LEAF
+        while not levels or len(level["least"]) > self.FANOUT:
+            at = np.arange(0, len(level["least"]), fan)
+            ends = np.append(at[1:], len(level["least"]))
+            up = {"kids": (at, ends), "bits": np.bitwise_or.reduceat(level["bits"], at, axis=0)}
+            for name, f in (("least", np.minimum), ("most", np.maximum), ("hidden", np.maximum), ("low", np.minimum), ("high", np.maximum)):
+                up[name] = f.reduceat(level[name], at)
+            levels.append(up)
+            level, fan = up, self.FANOUT
+        levels[0]["rows"] = rows
+        return levels
+
+    def may_link(self, x: dict, y: dict, i, j):
+        """Which pairs of nodes may hold a link between components."""
+        import numpy as np
+
+        one = (x["low"][i] == x["high"][i]) & (y["low"][j] == y["high"][j]) & (x["low"][i] == y["low"][j])
+        ok = ~one & (4 * x["least"][i] <= 5 * y["most"][j]) & (4 * y["least"][j] <= 5 * x["most"][i])
+        at = np.flatnonzero(ok)
+        step = max(1, self.WORDS // x["bits"].shape[1])
+        for k in range(0, len(at), step):
+            some = at[k : k + step]
+            a, b = i[some], j[some]
+            reach = np.bitwise_count(x["bits"][a] & y["bits"][b]).sum(axis=1, dtype=np.int64) + np.minimum(x["hidden"][a], y["hidden"][b])
+            ok[some] = np.minimum(reach, np.minimum(x["most"][a], y["most"][b])) >= needed(x["least"][a], y["least"][b])
+        return ok
+
+    def dual(self, left: list[dict], right: list[dict]):
+        """Dual traversal of two trees, or of one with itself: yields the pairs of rows that may link."""
+        import numpy as np
+
+        same, a, b = left is right, len(left) - 1, len(right) - 1
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(len(left[a]["least"])), np.arange(len(right[b]["least"])), indexing="ij"))
+        if same:
+            i, j = i[i <= j], j[i <= j]
+        while True:
+            ok = self.may_link(left[a], right[b], i, j)
+            i, j = i[ok], j[ok]
+            if a == b == 0:
+                break
+            down = a >= b, b >= a
+            if down[0]:
+                i, j = spread(*left[a]["kids"], i, j)
+                a -= 1
+            if down[1]:
+                j, i = spread(*right[b]["kids"], j, i)
+                b -= 1
+            if same:
+                i, j = i[i <= j], j[i <= j]
+        step = max(1, self.WORDS // self.LEAF**2)
+        for k in range(0, len(i), step):
+            x, y = spread(*left[0]["kids"], i[k : k + step], j[k : k + step])
+            y, x = spread(*right[0]["kids"], y, x)
+            if same:
+                x, y = x[x < y], y[x < y]
+            yield self.possible(left[0]["rows"][x], right[0]["rows"][y])
+
+    def within(self, a: int, b: int):
+        """The pairs that may link of rows ``a`` to ``b``, one task's: of its own, or with its others if it has some."""
+        import numpy as np
+
+        rows, other = np.arange(a, b), self.other[a:b]
+        sides = [rows[~other], rows[other]] if other.any() else [rows]
+        made: dict = {}
+
+        def tree(side: int, own: int, width: int) -> list[dict] | None:
+            if (side, own, width) not in made:
+                some = sides[side][self.width[sides[side]] == own]
+                made[side, own, width] = self.tree(some, width) if len(some) else None
+            return made[side, own, width]
+
+        widths = np.unique(self.width[a:b]).tolist()
+        for w in widths:
+            for x, y in [(w, w), (w, 2 * w)] + ([(2 * w, w)] if len(sides) == 2 else []):
+                left, right = tree(0, x, w), tree(len(sides) - 1, y, w)
+                if left and right:
+                    yield from self.dual(left, right)
+
+    def small(self, edges):
+        """The pairs that may link of all tasks of at most ``LEAF`` rows, each a tree of one node."""
+        import numpy as np
+
+        starts, ends = edges[:-1], edges[1:]
+        few = ends - starts <= self.LEAF
+        end = np.repeat(ends[few], (ends - starts)[few])
+        i, j = spread(starts, ends, np.flatnonzero(few), np.flatnonzero(few))
+        del j
+        i, j = np.repeat(i, end - i - 1), pairs_after(i, end)
+        mixed_task = np.bitwise_or.reduceat(self.other, starts) if len(starts) else np.zeros(0, bool)
+        task = np.searchsorted(starts, i, side="right") - 1
+        ok = ~mixed_task[task] | (self.other[i] != self.other[j])
+        yield self.possible(i[ok], j[ok])
+
+    def pairs(self, most: int):
+        """``token, a, b`` of what may link, ``most`` pairs for each task and two components; a row without ``a`` and ``b`` says that a token has more."""
+        import numpy as np
+
+        new = np.flatnonzero((np.diff(self.token) != 0) | (np.diff(self.task) != 0)) + 1
+        edges = np.concatenate([[0], new, [len(self.token)]])
+        task = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        found = [*self.small(edges)]
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if b - a > self.LEAF:
+                found += self.within(a, b)
+        i, j, spare = (np.concatenate(x) for x in zip(*found))
+        low, high = np.minimum(self.comp[i], self.comp[j]), np.maximum(self.comp[i], self.comp[j])
+        order = np.lexsort((-spare, high, low, task[i]))
+        i, j, low, high = i[order], j[order], low[order], high[order]
+        if not len(i):
+            return i, i, i, i
+        head = np.concatenate([[True], (np.diff(task[i]) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)])
+        rank = np.arange(len(i)) - np.maximum.accumulate(np.where(head, np.arange(len(i)), 0))
+        kept = rank < most
+        x, y = self.id[i[kept]], self.id[j[kept]]
+        return self.token[i[kept]], np.minimum(x, y), np.maximum(x, y), np.unique(self.token[i[~kept]])
+
+
+def spread(starts, ends, i, j):
+    """Each ``i`` replaced by ``starts[i]`` up to ``ends[i]``, with its ``j``."""
+    import numpy as np
+
+    many = ends[i] - starts[i]
+    first = np.cumsum(many) - many
+    return np.repeat(starts[i] - first, many) + np.arange(many.sum()), np.repeat(j, many)
+
+
+def pairs_after(i, end):
+    """For each ``i`` the numbers after it up to its ``end``."""
+    import numpy as np
+
+    many = end - i - 1
+    return np.repeat(i + 1 - (np.cumsum(many) - many), many) + np.arange(many.sum())
+
+
+def dealt(members: DataFrame, part: int) -> DataFrame:
+    """``members`` (``token, id, n, pos, comp``) with ``task, other``: which rows of a token meet.
+
+    A token of at most ``part`` members is one task. Others' members fall into groups by size band and by whether they are of the component
+    that has most of the token; groups into parts of about ``part``; each two parts that sizes allow to link, and that are not
+    both of that component, are a task, the one's rows against the other's.
+    """
+    spark = members.sparkSession
+    # Counts by component are sums, map-side first, whatever the token.
+    counts = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+    big = counts.groupBy("token").agg(F.sum("c").alias("c"), F.max_by("comp", F.struct("c", "comp")).alias("most")).filter(F.col("c") > part).select("token", "most")
+    big = written(big, scratch(spark, "hot-shingles"))
+    plain = lambda df: df.select("token", F.lit(0).cast("bigint").alias("task"), F.lit(False).alias("other"), "id", "n", "pos", "comp")
+    if big.isEmpty():
+        return plain(members)
+    few = members.join(big, "token", "left_anti")
+    band = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
+    many = members.join(big, "token").withColumn("kind", 2 * band + (F.col("comp") == F.col("most")).cast("int")).drop("most")
+    kinds = many.groupBy("token", "kind").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("k"), F.min("n").alias("least"), F.max("n").alias("most"))
+    kinds = written(kinds, scratch(spark, "hot-groups"))
+    x, y = (kinds.select("token", *[F.col(c).alias(f"{side}_{c}") for c in kinds.columns[1:]]) for side in "xy")
+    meets = x.join(y, "token").filter("x_kind <= y_kind and not (x_kind % 2 = 1 and y_kind % 2 = 1) and 4 * x_least <= 5 * y_most and 4 * y_least <= 5 * x_most")
+    meets = meets.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("x_k") - 1)))
+    meets = meets.withColumn("q", F.explode(F.sequence(F.when(F.col("x_kind") == F.col("y_kind"), F.col("p")).otherwise(0), F.col("y_k") - 1)))
+    tasks = written(meets.select("token", "x_kind", "p", "y_kind", "q", F.xxhash64("x_kind", "p", "y_kind", "q").alias("task")), scratch(spark, "hot-tasks"))
+    placed = many.join(kinds.select("token", "kind", "k"), ["token", "kind"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    own = placed.join(tasks.select("token", F.col("x_kind").alias("kind"), F.col("p").alias("part"), "task"), ["token", "kind", "part"])
+    across = tasks.filter("x_kind != y_kind or p != q")
+    other = placed.join(across.select("token", F.col("y_kind").alias("kind"), F.col("q").alias("part"), "task"), ["token", "kind", "part"])
+    sides = [df.select("token", "task", F.lit(flag).alias("other"), "id", "n", "pos", "comp") for df, flag in ((own, False), (other, True))]
+    return plain(few).union(sides[0]).union(sides[1])
+
+
+def possible_pairs(members: DataFrame, signatures: DataFrame, most: int, part: int) -> DataFrame:
+    """``token, a, b``: pairs of different components that may link; and tokens with more than ``most`` of a task's for two components, without a pair.
+
+    A task holds the signatures of two parts at most, some of small tasks more.
+    """
     import pyarrow as pa
 
     def run(batches):
-        import numpy as np
+        held = None
 
-        for _, rows in groups(batches, 1):
-            rows.sort(key=lambda r: (r[1], r[4]))
-            _, n, pos, comp, ids, sig = zip(*rows)
-            n, pos, comp = (np.array(x, dtype=np.int64) for x in (n, pos, comp))
-            sigs = [np.frombuffer(s, "<u8") for s in sig]
-            width = np.array([len(s) for s in sigs])
-            a, b = [], []
-            for w in np.unique(width):
-                near = np.flatnonzero((width == w) | (width == 2 * w))
-                m = np.stack([folded(sigs[i], w) for i in near])
-                hidden = n[near] - np.bitwise_count(m).sum(axis=1)
-                for k, i in enumerate(near):
-                    if width[i] != w:
-                        continue
-                    js = np.arange(k + 1, len(near))
-                    js = js[(4 * n[near[js]] <= 5 * n[i]) & (comp[near[js]] != comp[i])]
-                    j = near[js]
-                    least = needed(n[i], n[j])
-                    ok = 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= least
-                    js, least = js[ok], least[ok]
-                    if len(js):
-                        reach = np.bitwise_count(m[k] & m[js]).sum(axis=1) + np.minimum(hidden[k], hidden[js])
-                        js = js[reach >= least]
-                        a += [ids[i]] * len(js)
-                        b += [ids[x] for x in near[js]]
-            if a:
-                lo, hi = np.minimum(a, b), np.maximum(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
-
-    dealt = postings.select("token", "n", "pos", "comp", "id", "sig").repartition("token").sortWithinPartitions("token")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets link."""
+        def told(table):
+            token, a, b, more = Signatures(table).pairs(most)
+            if len(token) or len(more):
+                whole = lambda x: pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(len(more), pa.int64())])
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(token, pa.int64()), pa.array(more, pa.int64())]), whole(a), whole(b)], ["token", "a", "b"])
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                some = pa.Table.from_batches([batch.slice(k, 4096)])
+                held = some if held is None else pa.concat_tables([held, some])
+                keys = [held.column(c).to_numpy() for c in ("token", "task")]
+                last = held.num_rows - 1
+                new = (keys[0] != keys[0][last]) | (keys[1] != keys[1][last])
+                whole = int(new.nonzero()[0][-1]) + 1 if new.any() else 0  # the last task may go on in the next batch
+                if whole:
+                    yield from told(held.slice(0, whole))
+                    held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield from told(held)
+
+    rows = dealt(members, part).join(signatures, "id").select("token", "task", "other", "id", "n", "pos", "comp", "sig")
+    return rows.repartition("token", "task").sortWithinPartitions("token", "task").mapInArrow(run, "token bigint, a bigint, b bigint")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, path: str) -> DataFrame:
+    """The pairs ``a, b`` whose whole sets link, written to ``path``."""
     import pyarrow as pa
 
     def to_sets(batches):
@@ -372,40 +583,49 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     spark = pairs.sparkSession
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = written(ids, scratch(spark, "compared"))
-    sets = texts.join(small(ids), "id", "left_semi").mapInArrow(to_sets, "id bigint, tokens binary")
-    sets = written(sets, scratch(spark, "compared-sets"))
+    sets = texts.join(ids.hint("shuffle_hash"), "id", "left_semi").mapInArrow(to_sets, "id bigint, tokens binary")
+    sets = written(sets, held := scratch(spark, "compared-sets"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
+    out = written(both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint"), path)
+    dropped(spark, held)
+    return out
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """``id, comp`` of every id in ``links`` (``a, b``): the least id reachable, by alternating large and small stars."""
-    edges, before = written(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u < v").distinct(), scratch(spark, "edges")), None
+    """``id, comp`` of every id in ``links`` (``a, b``): the least id reachable, by alternating large and small stars until no edge changes."""
+    path = scratch(spark, "edges")
+    edges = written(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u < v").distinct(), path)
     while True:
         both = edges.select("v", "u").union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
         large = both.join(least, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("u < v").distinct()
         small = large.groupBy("v").agg(F.min("u").alias("m"))
-        edges = large.join(small, "v").select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u").filter("u < v").distinct()
-        edges = written(edges, scratch(spark, "edges"))
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v", "u") % 1_000_003).alias("h")).head()
-        if now == before:
-            return edges.groupBy("v").agg(F.min("u").alias("comp")).withColumnRenamed("v", "id")
-        before = now
+        stars = large.join(small, "v").select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u").filter("u < v").distinct()
+        then = scratch(spark, "edges")
+        stars = written(stars, then)
+        if stars.count() == edges.count() and stars.join(edges, ["v", "u"], "left_anti").isEmpty():
+            dropped(spark, path)
+            return stars.groupBy("v").agg(F.min("u").alias("comp")).withColumnRenamed("v", "id")
+        dropped(spark, path)
+        edges, path = stars, then
 
 
-def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART, rare: int = RARE, first_pairs: int = FIRST_PAIRS) -> DataFrame:
     """``id, n_shingles, component_id`` of every row.
 
     Sets are compared by 64-bit hashes of shingles, equal sets by 128-bit digests. A null or empty text, or one
     without words, has no shingles and links with nothing. A row without an id links with nothing and has no component.
     Rows of one id and different texts share the id's component. Repeated rows stay rows. An empty table gives
-    an empty result; columns other than id and text are not read.
+    an empty result; columns other than id and text are not read. ``part``, ``rare`` and ``first_pairs`` change how work is dealt, never the result.
     """
+    made: list[str] = []
+
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        made.append(scratch(spark, label))
+        return written(df, made[-1])
+
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    n_docs = src.count()
-    full = written(sets_of(src, common_shingles(src, n_docs)), whole := scratch(spark, "sets"))
+    full = written(sets_of(src, common_shingles(src, src.count(), rare)), whole := scratch(spark, "sets"))
     # Equal sets have equal prefixes, so a representative is made by sums alone, map-side first.
     some = full.filter(F.col("id").isNotNull() & (F.col("n") > 0))
     reps = some.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
@@ -414,47 +634,58 @@ def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     dropped(spark, whole)
     release(spark)
     named = sets.filter(F.col("id").isNotNull() & (F.col("n") > 0))
-    postings = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.min("id").alias("hub"), F.max("id").alias("other")).filter("hub < other").select("token", "hub")
-    shared = written(postings.join(shared.hint("shuffle_hash"), "token"), scratch(spark, "postings"))
-    release(spark)
-
-    blocks = written(shared.groupBy("id").agg(F.min("hub").alias("hub")), scratch(spark, "blocks"))
-    parts = blocks.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).filter("parts >= 1")
-    of_members = blocks.join(parts.hint("shuffle_hash"), "hub").filter("id != hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-    of_hubs = parts.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    places = written(of_members.union(of_hubs), scratch(spark, "places"))
     # Rows of one representative's id that hold other texts must not stand for it.
     twice = named.groupBy("id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("id")
     texts = src.filter(F.col("id").isNotNull())
     if not twice.isEmpty():
-        raise_on_different_texts = named.join(twice, "id").groupBy("id").agg(F.countDistinct("digest").alias("k")).filter("k > 1")
-        if not raise_on_different_texts.isEmpty():
-            return _with_row_ids(spark, docs, id_col, text_col)
+        differing = named.join(twice, "id").groupBy("id").agg(F.countDistinct("digest").alias("k")).filter("k > 1")
+        if not differing.isEmpty():
+            return _with_row_ids(spark, docs, id_col, text_col, part, rare, first_pairs)
         texts = texts.groupBy("id").agg(F.first("text").alias("text"))
-    links = written(block_links(texts.join(small(places), "id").select("hub", "part", "id", "text")), scratch(spark, "links"))
-    release(spark)
 
-    found = components(spark, links)
-    labelled = shared.join(found.hint("shuffle_hash"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    labelled = written(labelled.select("token", "id", "n", "pos", "comp"), scratch(spark, "labelled"))
-    torn = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("token")
-    left = labelled.join(torn.hint("shuffle_hash"), "token", "left_semi").join(reps.select("id", "sig").hint("shuffle_hash"), "id")
-    pairs = written(possible_pairs(left), scratch(spark, "pairs"))
+    postings = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = postings.groupBy("token").agg(F.min("id").alias("hub"), F.max("id").alias("other")).filter("hub < other").select("token", "hub")
+    shared = kept(postings.join(shared.hint("shuffle_hash"), "token"), "postings")
     release(spark)
-    if not pairs.isEmpty():
-        more = written(confirmed(pairs, texts), scratch(spark, "more-links"))
-        if not more.isEmpty():
-            found = components(spark, links.union(more))
+    blocks = kept(shared.groupBy("id").agg(F.min("hub").alias("hub"), F.first("n").alias("n")), "blocks")
+    # Only blocks of several parts are looked up again; they are few, one in ``part`` texts at most or of very long ones.
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / part, F.sum("n") / PART_SHINGLES)).cast("int")
+    wide = kept(blocks.groupBy("hub").agg(parts.alias("parts")).filter("parts > 1"), "wide-blocks")
+    members = blocks.filter("id != hub").join(wide, "hub", "left").select("id", "hub", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(0).cast("int").alias("part"))
+    hubs = blocks.select("hub").distinct().join(wide, "hub", "left").select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    places = kept(members.union(hubs), "places")
+    links = [kept(block_links(texts.join(places.hint("shuffle_hash"), "id").select("hub", "part", "id", "text")), "links")]
+    release(spark)
+
+    found = components(spark, links[0])
+    rest, most = shared.select("token", "id", "n", "pos"), first_pairs
+    signatures = reps.select("id", "sig")
+    while True:
+        labelled = kept(rest.join(found.hint("shuffle_hash"), "id", "left").select("token", "id", "n", "pos", F.coalesce("comp", "id").alias("comp")), "labelled")
+        torn = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("token")
+        torn = kept(labelled.join(torn.hint("shuffle_hash"), "token", "left_semi"), "torn")
+        possible = kept(possible_pairs(torn, signatures, most, part), "pairs")
+        release(spark)
+        pairs = possible.filter("a is not null").select("a", "b").distinct()
+        if not pairs.isEmpty():
+            made.append(scratch(spark, "more-links"))
+            links.append(confirmed(pairs, texts, made[-1]))
+            found = components(spark, reduce(DataFrame.union, links))
+        more = possible.filter("a is null").select("token").distinct()
+        if more.isEmpty():
+            break
+        rest, most = torn.join(more.hint("shuffle_hash"), "token", "left_semi").select("token", "id", "n", "pos"), 16 * most
+    found = written(found, scratch(spark, "components"))
+    dropped(spark, *made)
     of_sets = reps.join(found.hint("shuffle_hash"), "id", "left").select("digest", F.coalesce("comp", "id").alias("component"))
     out = sets.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("digest")).alias("digest")).join(of_sets.hint("shuffle_hash"), "digest", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _with_row_ids(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _with_row_ids(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, *dealing: int) -> DataFrame:
     """For tables in which one id has several texts: join by row, then give the rows of an id one component."""
     rows = written(docs.select(F.col(id_col).cast("long").alias("own"), F.col(text_col).alias("text")).withColumn("doc_id", F.monotonically_increasing_id()), scratch(spark, "rows"))
-    found = near_components(spark, rows)
+    found = near_components(spark, rows, "doc_id", "text", *dealing)
     known = written(found.join(rows.select("doc_id", "own"), "doc_id"), scratch(spark, "row-components"))
     links = known.filter("own is not null").select(F.col("own").alias("a"), (-1 - F.col("component_id")).alias("b"))
     comp = components(spark, links)  # ids of components lie below zero, and so do the least ids: taken back to own ids below
