@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.store import release, scratch, written
+from lectern.llm.store import dropped, scratch, written
 
 #: Bytes of the first digit, the second, and so on; the last width serves for all further rounds.
 WIDTHS = (32, 4096, 262_144, 4_194_304)
@@ -43,7 +43,7 @@ def exact_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
         width = WIDTHS[min(at, len(WIDTHS) - 1)]
         digit = F.substring("rest", 1, width)
         keys = state.groupBy("gid", digit.alias("digit")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("best")).filter("n > 1")
-        keys = written(keys.select("gid", "digit", "n", F.col("best.id").alias("best"), F.monotonically_increasing_id().alias("next")), scratch(spark, "radix-keys"))
+        keys = written(keys.select("gid", "digit", "n", F.col("best.id").alias("best"), F.monotonically_increasing_id().alias("next")), used := scratch(spark, "radix-keys"))
         keys = keys.withColumnRenamed("gid", "key_gid").withColumnRenamed("digit", "key_digit")
         joined = state.join(keys.hint("shuffle_hash"), (F.col("gid") == F.col("key_gid")) & (digit == F.col("key_digit")), "left")
         open_ = F.col("next").isNotNull() & (F.octet_length("rest") > width)
@@ -54,9 +54,8 @@ def exact_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
             F.when(F.col("next").isNull(), F.col("id")).otherwise(F.col("best")).alias("keep_id"),
             F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         )
-        path = scratch(spark, "radix-state")
-        state = written(moved, path)
-        release(spark)
+        state = written(moved, scratch(spark, "radix-state"))
+        dropped(spark, used)
         over = state.filter(F.col("gid").isNull()).select("id", "keep_id", "group_size", "sha")
         done = over if done is None else done.unionByName(over)
         state = state.filter(F.col("gid").isNotNull()).select("id", "points", "sha", "gid", "rest")

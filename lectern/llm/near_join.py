@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.store import dropped, release, scratch, written
+from lectern.llm.store import dropped, scratch, written
 
 #: Texts in a part of a block, about. A shingle in more than one of so many documents is put last.
 PART, RARE = 1000, 1000
@@ -632,7 +632,6 @@ def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     reps = written(reps, scratch(spark, "representatives"))
     sets = written(full.select("id", "n", "digest"), scratch(spark, "digests"))
     dropped(spark, whole)
-    release(spark)
     named = sets.filter(F.col("id").isNotNull() & (F.col("n") > 0))
     # Rows of one representative's id that hold other texts must not stand for it.
     twice = named.groupBy("id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("id")
@@ -646,7 +645,6 @@ def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     postings = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = postings.groupBy("token").agg(F.min("id").alias("hub"), F.max("id").alias("other")).filter("hub < other").select("token", "hub")
     shared = kept(postings.join(shared.hint("shuffle_hash"), "token"), "postings")
-    release(spark)
     blocks = kept(shared.groupBy("id").agg(F.min("hub").alias("hub"), F.first("n").alias("n")), "blocks")
     # Only blocks of several parts are looked up again; they are few, one in ``part`` texts at most or of very long ones.
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / part, F.sum("n") / PART_SHINGLES)).cast("int")
@@ -655,7 +653,6 @@ def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     hubs = blocks.select("hub").distinct().join(wide, "hub", "left").select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     places = kept(members.union(hubs), "places")
     links = [kept(block_links(texts.join(places.hint("shuffle_hash"), "id").select("hub", "part", "id", "text")), "links")]
-    release(spark)
 
     found = components(spark, links[0])
     rest, most = shared.select("token", "id", "n", "pos"), first_pairs
@@ -665,7 +662,6 @@ def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         torn = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("token")
         torn = kept(labelled.join(torn.hint("shuffle_hash"), "token", "left_semi"), "torn")
         possible = kept(possible_pairs(torn, signatures, most, part), "pairs")
-        release(spark)
         pairs = possible.filter("a is not null").select("a", "b").distinct()
         if not pairs.isEmpty():
             made.append(scratch(spark, "more-links"))

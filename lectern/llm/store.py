@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests), a folder of our own."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a folder of our own under a local master, which has one machine only; on a cluster an error, as no
+    folder is known to be shared.
+    """
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local-cluster") and context.master.startswith("local"):
         folder = f"file:///tmp/checkpoints/lectern-{os.getuid()}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
@@ -23,10 +28,20 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark removes the shuffle files of a query as it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it again: lineage ends, and lost executors cost nothing."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet and read it again: lineage ends, lost executors cost nothing, and the write's shuffle files go with it."""
+    spark = df.sparkSession
+    was = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(spark: SparkSession, *paths: str) -> None:
@@ -36,11 +51,3 @@ def dropped(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of jobs that are over."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
