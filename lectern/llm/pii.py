@@ -3,9 +3,13 @@
 Matches are placed without a UDF: ``split`` gives what lies between a pattern's matches,
 ``regexp_extract_all`` the matches, and running sums of their lengths the places. High-recall
 generators propose overlapping spans in the same way. A candidate's format and context make a small
-vector of small integers; all candidates of the corpus are counted by vector and by whether a
-format check confirms them, boosted trees are fitted on those counts (a bounded table), a
-threshold is calibrated on a fold that the trees have not seen, and the trees go back into the plan as an expression.
+vector of small integers; all candidates of the corpus that are not base spans are counted by vector and by whether there is
+evidence for them, boosted trees are fitted on those counts (a bounded table), a
+threshold for each kind is calibrated on a fold that the trees have not seen, and the trees go back into the plan as an expression.
+
+No marks by people exist, so evidence stands in for labels, and it is what the features do not see: checksums, valid ranges, how random a
+key is, a country code before a number. Where it is a word before the candidate (phones, insurance numbers), that word is kept
+from the features, so the trees learn which formats such words go with, and find the same formats without the word.
 """
 
 from __future__ import annotations
@@ -96,17 +100,23 @@ def placed(text: Column, pattern: str, kind: str, needs: str | None = None) -> C
 
 SPANS = "array<struct<kind:string,start:int,stop:int,match:string,before:string,after:string>>"
 
+#: Kinds whose evidence is a word before them; their ``cue`` feature is 0.
+CUED = ("phone", "ssn")
 #: Features of a candidate, each a small integer: name -> (count of values, expression of the span).
 FEATURES: dict[str, tuple[int, object]] = {
     "kind": (7, lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).cast("int") - 1),
-    "digits": (7, lambda s: _bins(F.length(digits(s["match"])), (1, 7, 9, 12, 16, 20))),
-    "length": (5, lambda s: _bins(F.length(s["match"]), (8, 16, 24, 40))),
-    "letters": (4, lambda s: _bins(F.length(F.regexp_replace(s["match"], "[^A-Za-z]", "")), (1, 6, 16))),
-    "separators": (4, lambda s: _bins(F.length(F.regexp_replace(s["match"], r"[^\x20().-]", "")), (1, 2, 4))),
+    "digits": (6, lambda s: _bins(F.length(digits(s["match"])), (1, 7, 9, 12, 16))),
+    "length": (4, lambda s: _bins(F.length(s["match"]), (10, 20, 40))),
+    "letters": (3, lambda s: _bins(F.length(F.regexp_replace(s["match"], "[^A-Za-z]", "")), (1, 12))),
+    "dots": (3, lambda s: _bins(F.length(F.regexp_replace(s["match"], "[^.]", "")), (1, 3))),
+    "hyphens": (3, lambda s: _bins(F.length(F.regexp_replace(s["match"], "[^-]", "")), (1, 2))),
+    "spaces": (2, lambda s: F.contains(s["match"], F.lit(" ")).cast("int")),
+    "brackets": (2, lambda s: F.contains(s["match"], F.lit("(")).cast("int")),
     "zero_start": (2, lambda s: s["match"].startswith("0").cast("int")),
     "mixed": (2, lambda s: s["match"].rlike("[0-9][a-z]|[a-z][0-9]|[A-Z][0-9]|[0-9][A-Z]").cast("int")),
-    "cue": (2, lambda s: s["before"].rlike(CUES).cast("int")),
-    "edge_before": (2, lambda s: s["before"].rlike(r"[A-Za-z0-9@.+-]$").cast("int")),
+    "named": (2, lambda s: s["before"].rlike(r"[:=]\x20*$").cast("int")),
+    "cue": (2, lambda s: F.when(s["kind"].isin(*CUED), 0).otherwise(s["before"].rlike(CUES).cast("int"))),
+    "edge_before": (2, lambda s: s["before"].rlike(r"[A-Za-z0-9@.-]$").cast("int")),
     "edge_after": (2, lambda s: s["after"].rlike(r"^[A-Za-z0-9@-]|^\.[0-9]").cast("int")),
 }
 
@@ -115,31 +125,37 @@ def _bins(value: Column, edges: tuple[int, ...]) -> Column:
     return reduce(lambda a, b: a + b, [(value >= e).cast("int") for e in edges])
 
 
+def mod97(text: Column) -> Column:
+    """The remainder by which an IBAN is checked (1 if it holds): letters count as two digits, the first four characters come last."""
+    bare = F.upper(F.regexp_replace(text, " ", ""))
+    each = F.split(F.concat(F.substring(bare, 5, 64), F.substring(bare, 1, 4)), "")
+    return F.aggregate(each, F.lit(0), lambda r, c: F.when(c.rlike("[A-Z]"), (r * 100 + F.ascii(c) - 55) % 97).when(c != "", (r * 10 + F.ascii(c) - 48) % 97).otherwise(r))
+
+
 def confirmed(s: Column) -> Column:
-    """The check of form that stands in for a label: numbers that check out, keys that are random."""
+    """The evidence that stands in for a label (see above)."""
     m = s["match"]
     n = F.length(digits(m))
     value = F.regexp_extract(m, r"[=:]\x20*[\x22\x27]?(.*)$", 1)
-    iban = F.regexp_replace(m, " ", "")
     return (
         F.when(s["kind"] == "email", m.rlike(r"(?i)[a-z0-9](?:@|\x20?[\[({]at[\])}]\x20?)[a-z0-9]") & m.rlike(r"(?i)[.\])}]\x20?[a-z]{2,12}$"))
         .when(s["kind"] == "ip", m.rlike(r"^[0-9.]+$") & passes("ip", m) | m.rlike(r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$"))
         .when(s["kind"] == "card", passes("card", m))
-        .when(s["kind"] == "phone", n.between(9, 15) & (m.startswith("+") | m.rlike(r"^\([0-9]{3}\)\x20[0-9]{3}-[0-9]{4}$") | s["before"].rlike(PHONE_CUES)))
+        .when(s["kind"] == "phone", n.between(9, 15) & (m.startswith("+") | s["before"].rlike(r"\+[0-9]{1,3}[\x20.-]?$") | s["before"].rlike(PHONE_CUES)))
         .when(s["kind"] == "secret", m.startswith("AKIA") | (F.length(value) >= 12) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") | value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[^A-Za-z]") | m.rlike("^[A-Z_-]+=") & ~value.rlike(r"^[<$%{(]"))
-        .when(s["kind"] == "ssn", m.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$") | s["before"].rlike(SSN_CUES))
-        .when(s["kind"] == "iban", F.length(iban).between(15, 34) & (F.length(digits(iban)) >= 10))
+        .when(s["kind"] == "ssn", m.rlike(r"^(?!000|666|9)[0-9]{3}[\x20-](?!00)[0-9]{2}[\x20-](?!0000)[0-9]{4}$") & s["before"].rlike(SSN_CUES))
+        .when(s["kind"] == "iban", F.length(F.regexp_replace(m, " ", "")).between(15, 34) & (mod97(m) == 1))
         .otherwise(False)
     )
 
 
 @dataclass
 class Trees:
-    """Boosted trees of depth 2 on integer features: ``(feature, edge, (feature, edge, low, high) twice)``; score at least ``limit`` selects."""
+    """Boosted trees of depth 2 on integer features: ``(feature, edge, (feature, edge, low, high) twice)``; a score at or over its kind's limit selects."""
 
     bias: float
     trees: list[tuple]
-    limit: float
+    limits: dict[str, float]
 
     def score(self, x: tuple[int, ...]) -> float:
         z = self.bias
@@ -157,9 +173,16 @@ class Trees:
             z = z + F.when(xs[f] < e, leaf(low)).otherwise(leaf(high))
         return z
 
+    def picks(self, s: Column) -> Column:
+        """Whether a judged candidate reaches its kind's limit."""
+        limit = F.lit(math.inf)
+        for kind, least in self.limits.items():
+            limit = F.when(s["span"] == kind, least).otherwise(limit)
+        return self.column(s) >= limit
+
 
-def boosted(cells: dict[tuple, list[float]], rounds: int = 24, rate: float = 0.4, least: float = 1.0) -> Trees:
-    """Newton boosting on counted cells ``x -> [not confirmed, confirmed]``; the threshold is set by ``calibrated``."""
+def boosted(cells: dict[tuple, list[float]], rounds: int = 40, rate: float = 0.4, least: float = 1.0) -> Trees:
+    """Newton boosting on counted cells ``x -> [without, with evidence]``; the limits are set by ``calibrated``."""
     none, yes = (sum(c[i] for c in cells.values()) for i in (0, 1))
     bias = math.log((yes + 0.5) / (none + 0.5))
     xs, z, trees = list(cells), {x: bias for x in cells}, []
@@ -195,26 +218,28 @@ def boosted(cells: dict[tuple, list[float]], rounds: int = 24, rate: float = 0.4
         for x in xs:
             g, d, a, b = tree[3] if x[top[1]] >= top[2] else tree[2]
             z[x] += a if x[g] < d else b
-    return Trees(bias, trees, math.inf)
+    return Trees(bias, trees, {})
 
 
 def calibrated(model: Trees, cells: dict[tuple, list[float]], precision: float) -> Trees:
-    """The lowest threshold at which, and above which, the unseen fold's share of confirmed candidates is at least ``precision``."""
-    ranked = sorted(((model.score(x), c) for x, c in cells.items()), key=lambda p: -p[0])
-    yes = total = 0.0
-    limit, i = math.inf, 0
-    while i < len(ranked):
-        j = i
-        while j < len(ranked) and ranked[j][0] >= ranked[i][0] - 1e-9:
-            yes, total, j = yes + ranked[j][1][1], total + sum(ranked[j][1]), j + 1
-        if total and yes / total >= precision:
-            limit = ranked[i][0] - 1e-6
-        i = j
-    return Trees(model.bias, model.trees, limit)
+    """For each kind the lowest limit at which, and above which, the unseen fold's share of candidates with evidence is at least ``precision``; a kind that the fold has none of selects nothing."""
+    limits = {}
+    for k, kind in enumerate(KINDS):
+        ranked = sorted(((model.score(x), c) for x, c in cells.items() if x[0] == k), key=lambda p: -p[0])
+        yes = total = 0.0
+        i = 0
+        while i < len(ranked):
+            j = i
+            while j < len(ranked) and ranked[j][0] >= ranked[i][0] - 1e-9:
+                yes, total, j = yes + ranked[j][1][1], total + sum(ranked[j][1]), j + 1
+            if total and yes / total >= precision:
+                limits[kind] = ranked[i][0] - 1e-6
+            i = j
+    return Trees(model.bias, model.trees, limits)
 
 
 def judged(s: Column) -> Column:
-    """A span with its features, whether its form is confirmed, and its fold."""
+    """A span with its features, whether there is evidence for it, and its fold."""
     features = [expr(s).alias(name) for name, (_, expr) in FEATURES.items()]
     return F.struct(s["kind"].alias("span"), s["start"].alias("start"), s["stop"].alias("stop"), *features, F.coalesce(confirmed(s), F.lit(False)).alias("yes"), (F.crc32(s["match"].cast("binary")) % 4 == 0).alias("held"))
 
@@ -240,8 +265,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def fitted(found: DataFrame, precision: float = 0.97) -> Trees:
-    """Trees fitted on all candidates, counted by feature vector (a table bounded by the product of the features' sizes)."""
-    spans = found.select(F.explode(F.concat("base", "proposed")).alias("s")).select(*[F.col(f"s.{name}") for name in FEATURES], "s.yes", "s.held")
+    """Trees fitted on all proposed candidates, counted by feature vector (a table bounded by the product of the features' sizes)."""
+    spans = found.select(F.explode("proposed").alias("s")).select(*[F.col(f"s.{name}") for name in FEATURES], "s.yes", "s.held")
     train, held = defaultdict(lambda: [0.0, 0.0]), defaultdict(lambda: [0.0, 0.0])
     for r in spans.groupBy(*spans.columns).agg(F.count(F.lit(1)).alias("n")).collect():
         (held if r["held"] else train)[tuple(r)[: len(FEATURES)]][int(r["yes"])] += r["n"]
@@ -249,18 +274,32 @@ def fitted(found: DataFrame, precision: float = 0.97) -> Trees:
 
 
 def selected(found: DataFrame, model: Trees) -> DataFrame:
-    """``id, base, picked, added``: candidates over the threshold, and those of them that touch no base span, the longest first, each that touches none taken before."""
-    picked = F.filter("proposed", lambda s: model.column(s) >= model.limit) if math.isfinite(model.limit) else F.slice("proposed", 1, 0)
-    touches = lambda a, b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])
-    free = F.when(F.size("picked") > 0, F.filter("picked", lambda s: ~F.exists("base", lambda b: touches(s, b)))).otherwise(F.col("picked"))
-    ranked = lambda spans: F.transform(F.array_sort(F.transform(spans, lambda s: F.struct((s["start"] - s["stop"]).alias("n"), s["start"].alias("at"), s["span"].alias("kind"), s.alias("s")))), lambda t: t["s"])
-    greedy = lambda spans: F.aggregate(ranked(spans), F.filter(spans, lambda s: F.lit(False)), lambda a, s: F.when(F.exists(a, lambda o: touches(s, o)), a).otherwise(F.concat(a, F.array(s))))
-    df = found.withColumn("picked", picked).withColumn("free", free)
-    df = df.withColumn("free", F.array_distinct("free"))
-    # Only spans that meet another are dealt one by one.
-    meets = lambda s: F.exists("free", lambda o: touches(s, o) & ((s["start"] != o["start"]) | (s["stop"] != o["stop"]) | (s["span"] != o["span"])))
-    df = df.withColumn("met", F.when(F.size("free") > 1, F.filter("free", meets)).otherwise(F.slice("free", 1, 0)))
-    df = df.withColumn("added", F.when(F.size("met") > 0, F.concat(F.filter("free", lambda s: ~meets(s)), greedy(F.col("met")))).otherwise(F.col("free")))
+    """``id, base, picked, added``: candidates over the limit, and those of them that touch no base span, from the left, of two that begin
+    together the longer, each that touches none taken before. Linear in the spans but for sorting them.
+    """
+    none = lambda spans: F.filter(spans, lambda s: F.lit(False))
+    picked = F.filter("proposed", model.picks) if model.limits else none(F.col("proposed"))
+    df = found.withColumn("picked", picked)
+    # A picked span is free if the base spans that begin before it ends have all ended where it begins.
+    marks = lambda spans, at, last: F.transform(spans, lambda s: F.struct(s[at].alias("at"), F.lit(last).alias("last"), s.alias("s")))
+    order = F.array_sort(F.concat(marks(F.col("base"), "start", 1), marks(F.col("picked"), "stop", 0)))
+    reach = F.aggregate(
+        order,
+        F.struct(F.lit(0).alias("stop"), none(F.col("picked")).alias("free")),
+        lambda a, m: F.struct(
+            F.when(m["last"] == 1, F.greatest(a["stop"], m["s"]["stop"])).otherwise(a["stop"]).alias("stop"),
+            F.when((m["last"] == 0) & (a["stop"] <= m["s"]["start"]), F.concat(a["free"], F.array(m["s"]))).otherwise(a["free"]).alias("free"),
+        ),
+    )
+    free = F.when(F.size("picked") == 0, F.col("picked")).when(F.size("base") == 0, F.col("picked")).otherwise(reach["free"])
+    df = df.withColumn("free", free)
+    ranked = F.array_sort(F.transform("free", lambda s: F.struct(s["start"].alias("at"), (-s["stop"]).alias("n"), s["span"].alias("kind"), s.alias("s"))))
+    taken = F.aggregate(
+        ranked,
+        F.struct(F.lit(0).alias("stop"), none(F.col("free")).alias("taken")),
+        lambda a, r: F.when(r["at"] >= a["stop"], F.struct(r["s"]["stop"].alias("stop"), F.concat(a["taken"], F.array(r["s"])).alias("taken"))).otherwise(a),
+    )
+    df = df.withColumn("added", F.when(F.size("free") > 1, taken["taken"]).otherwise(F.col("free")))
     return df.select("id", "base", "picked", "added", *([F.col("row")] if "row" in df.columns else []))
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm.license_scan import license_scan
-from lectern.llm.pii import BASE, boosted, calibrated, pii_spans
+from lectern.llm.pii import BASE, FEATURES, KINDS, boosted, calibrated, pii_spans
 from lectern.llm.toxicity import fit, toxicity_scores
 
 from .conftest import EDGES, SCHEMA, rows_of
@@ -73,9 +73,15 @@ def test_many_matches(spark):
 
 
 def test_boosting_separates():
-    cells = {(k, d, 0, 0, 0, 0, 0, c, 0, 0): ([0.0, 50.0] if c and d > 3 else [50.0, 0.0]) for k in range(3) for d in range(7) for c in range(2)}
+    cells = {}
+    for k in range(3):
+        for d in range(6):
+            for c in range(2):
+                x = dict.fromkeys(FEATURES, 0) | {"kind": k, "digits": d, "named": c}
+                cells[tuple(x.values())] = [0.0, 50.0] if c and d > 3 else [50.0, 0.0]
     model = calibrated(boosted(cells), cells, 0.95)
-    assert all((model.score(x) >= model.limit) == (y[1] > 0) for x, y in cells.items())
+    assert set(model.limits) == set(KINDS[:3])
+    assert all((model.score(x) >= model.limits[KINDS[x[0]]]) == (y[1] > 0) for x, y in cells.items())
 
 
 def test_toxicity_learns_and_holds_out(spark, edges, none):
