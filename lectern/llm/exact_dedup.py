@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lectern.llm.store import dropped, scratch, written
 
 #: Bytes of the first digit, the second, and so on; the last width serves for all further rounds.
-WIDTHS = (32, 4096, 262_144, 4_194_304)
+WIDTHS = (32, 256, 4096, 65_536, 1 << 20, 1 << 24)
 
 
 def normalised(text: Column) -> Column:

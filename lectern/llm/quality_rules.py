@@ -14,7 +14,7 @@ WHITE = " \t\n\x0b\x0c\r"
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """``id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed`` of every row; no shuffle.
 
-    Windows of five words are compared by a 64-bit hash of the words' hashes; windows found twice are those
+    Windows of five words are compared by a 64-bit hash of the words' hashes (counts are exact but for collisions in a text's own windows); windows found twice are those
     next to their like in sorted order, and the words in them are counted from the gaps between their
     places, so a text costs n log n however often it repeats itself. Each array is a
     column of its own: used more than once, it is computed once.
@@ -78,7 +78,8 @@ def quality_verdicts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     rules' figures are written, and hosts are summed map-side and joined back by a join that can be split.
     """
     rules = written(measured(docs, id_col, text_col, host_col), scratch(spark, "rules"))
-    rates = host_rates(rules).select("host", F.col("rate").alias("host_rate"))
+    # Written, its size is known before the join is planned: a small table goes to the rows, a large one meets them in a join that adaptive execution splits.
+    rates = written(host_rates(rules).select("host", F.col("rate").alias("host_rate")), scratch(spark, "host-rates"))
     out = rules.join(rates, "host", "left")
     kept = ~F.col("base_failed") & (F.col("host_rate") <= host_limit)
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", kept.alias("kept"))

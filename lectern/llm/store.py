@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +26,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_work: ContextVar[str | None] = ContextVar("work", default=None)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A path of its own for one run of one operator."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_work.get() or shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def workspace(spark: SparkSession, label: str) -> Iterator[str]:
+    """All paths that are made inside lie under one folder, which goes at the end; results must be written elsewhere before."""
+    path = scratch(spark, label)
+    before = _work.set(path)
+    try:
+        yield path
+    finally:
+        _work.reset(before)
+        dropped(spark, path)
 
 
 #: Spark removes the shuffle files of a query as it ends.

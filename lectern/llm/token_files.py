@@ -5,7 +5,7 @@ One pair of files a task, in ascending id order over the tasks:
 * ``<name>.tokens.arrow``: record batches of ``ids fixed_size_list<uint16 or uint32>[L]`` and
   ``mask fixed_size_list<bool>[L]``; the tokens of the task's documents back to back, the last
   sequence filled up with 0 under a false mask. No compression, so a memory map reads any
-  sequence in place.
+  sequence and its mask in place: ids as a numpy view, masks as Arrow booleans, a bit a token.
 * ``<name>.docs.arrow``: ``id, start, n_tokens`` of each document, start within the file.
 
 A task writes under a name of its own attempt and the manifest lists the names of the attempts that
@@ -78,24 +78,47 @@ class SequenceWriter:
 
 
 class TokenFile:
-    """Random access to the sequences of one file, without copies where the file can be mapped."""
+    """Random access to the sequences of one token file, in place where the store has it as a local file; elsewhere a batch is read at a time."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, uri: str) -> None:
         import pyarrow as pa
 
-        self.source = pa.memory_map(path.removeprefix("file://"))
+        local = uri.removeprefix("file://") if uri.startswith(("file:", "/")) else None
+        self.source = pa.memory_map(local) if local and not local.startswith("file:") else opened(uri)
         self.file = pa.ipc.open_file(self.source)
         self.length = self.file.schema.field("ids").type.list_size
+        self.at, self.batch = -1, None
+
+    def __enter__(self) -> TokenFile:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.batch = None
+        self.source.close()
+
+    def held(self, k: int):
+        """Batch ``k`` (all but the last hold ``BATCH`` sequences); the one read last is kept."""
+        if k != self.at:
+            self.at, self.batch = k, self.file.get_batch(k)
+        return self.batch
 
     def sequence(self, i: int):
-        """Ids and mask of sequence ``i`` (all batches but the last hold ``BATCH`` sequences)."""
-        batch = self.file.get_batch(i // BATCH)
-        at = (i % BATCH) * self.length
-        return batch.column(0).flatten()[at : at + self.length].to_numpy(), batch.column(1).flatten()[at : at + self.length].to_numpy(zero_copy_only=False)
+        """Ids and mask of sequence ``i``: a numpy view and an Arrow boolean array, neither copied from the batch."""
+        batch, at = self.held(i // BATCH), i % BATCH * self.length
+        return batch.column(0).flatten().slice(at, self.length).to_numpy(), batch.column(1).flatten().slice(at, self.length)
+
+    def tokens(self, start: int, n: int):
+        """Yields the ``n`` ids from token ``start`` of the file on, as views, a batch's share at a time."""
+        step = BATCH * self.length
+        while n:
+            some = self.held(start // step).column(0).flatten()
+            part = some.slice(start % step, n).to_numpy()
+            yield part
+            start, n = start + len(part), n - len(part)
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the files; returns the manifest ``part, tokens_path, docs_path, n_docs, n_tokens``, stored beside them.
+def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """Write the files; returns the manifest ``part, tokens_path, docs_path, n_docs, n_tokens``, stored beside them, and the id's type.
 
     Documents are dealt by ranges of (id, hash of the text), so a repeated id does not fill one
     task. Order within an id is that of the texts. Null ids come first; null and empty texts
@@ -147,47 +170,41 @@ def read_token_files(manifest: DataFrame, kind: str, id_col: str = "doc_id") ->
     """``id_col, start, n_tokens, ids_crc32`` of every document, from the files alone; a task a file.
 
     ``start`` counts the ids of all documents before, over all files. The running sum is over the
-    manifest, which has one row a file. A task holds one record batch and one document at most.
+    manifest, which has one row a file. A task holds one record batch, however long a document is. Null ids, empty documents
+    (their end id alone) and repeated rows come back as they were written; an empty manifest gives an empty result;
+    further columns of the manifest are not read.
     """
     import pyarrow as pa
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    tasks = max(1, manifest.count())
 
     def run(batches):
         import zlib
 
-        import numpy as np
-
         for batch in batches:
             for row in batch.to_pylist():
-                with opened(row["tokens_path"]) as tokens, opened(row["docs_path"]) as docs:
-                    sequences, index = pa.ipc.open_file(tokens), pa.ipc.open_file(docs)
-                    at, held = 0, np.zeros(0, "<u4")
+                with TokenFile(row["tokens_path"]) as tokens, opened(row["docs_path"]) as docs:
+                    index = pa.ipc.open_file(docs)
                     for b in range(index.num_record_batches):
-                        some = index.get_batch(b)
-                        sums = []
-                        for n in some.column(2).to_pylist():
-                            parts, have = [held], len(held)
-                            while have < n:
-                                chunk = sequences.get_batch(at)
-                                ids = chunk.column(0).flatten().to_numpy()[chunk.column(1).flatten().to_numpy(zero_copy_only=False)]
-                                parts.append(ids.astype("<u4"))
-                                have += len(ids)
-                                at += 1
-                            held = np.concatenate(parts) if len(parts) > 1 else held
-                            sums.append(zlib.crc32(held[:n].tobytes()))
-                            held = held[n:]
-                        start = pa.compute.add(some.column(1), row["base"])
+                        some, sums = index.get_batch(b), []
+                        for start, n in zip(some.column(1).to_pylist(), some.column(2).to_pylist()):
+                            crc = 0
+                            for ids in tokens.tokens(start, n):
+                                crc = zlib.crc32(ids.astype("<u4"), crc)
+                            sums.append(crc)
+                        start = pa.array(some.column(1).to_numpy() + row["base"])
                         yield pa.RecordBatch.from_arrays([some.column(0), start, some.column(2), pa.array(sums, pa.int64())], [id_col, "start", "n_tokens", "ids_crc32"])
 
-    import pyarrow.compute  # noqa: F401
-
-    spread = files.select("tokens_path", "docs_path", "base").repartition(tasks)
+    # Ranges of ``part``, which is unique, so that no two files meet in one task while the manifest is small enough to be sampled whole.
+    spread = files.select("part", "tokens_path", "docs_path", "base").repartitionByRange(max(1, manifest.count()), "part").select("tokens_path", "docs_path", "base")
     return spread.mapInArrow(run, f"`{id_col}` {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_file_round_trip(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 2, length: int = 2048) -> DataFrame:
-    """Write all documents and read them back."""
+    """Write all documents and read them back: ``doc_id, start, n_tokens, ids_crc32``.
+
+    Null and empty texts are their end id alone; null ids come first; repeated rows are written each; an empty table
+    gives an empty result; columns other than id and text are not read.
+    """
     return read_token_files(*write_token_files(docs, vocabulary, scratch(spark, "token-files"), end_id, length))

@@ -8,12 +8,25 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Hash space of terms; terms that the machine weighs at most; latent factors.
-SPACE, TERMS, FACTORS = 1 << 20, 2048, 8
-#: Labelled documents that the model is fitted on, at most (the first by hash of the id), and their characters.
-SAMPLE, SAMPLE_CHARS = 16_000, 120_000_000
-#: A term must be this many standard errors away from its expected share of toxic documents.
-LEAST_Z = 5.0
+#: Hash space of terms; latent factors.
+SPACE, FACTORS = 1 << 20, 8
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What bounds the fit, whatever the tables hold; scoring has no bound.
+
+    ``documents`` and ``characters``: labelled documents that the model is fitted on, at most (the first by hash of the id). ``terms``: terms that it
+    weighs, at most, those farthest from chance; ``least_z``: a term must be so many standard errors away from its expected share of toxic documents.
+    """
+
+    documents: int = 16_000
+    characters: int = 120_000_000
+    terms: int = 2048
+    least_z: float = 5.0
+
+
+LIMITS = Limits()
 
 
 def fold(id_column: Column) -> Column:
@@ -73,7 +86,7 @@ class Machine:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.03, ridge: float = 1e-4, seed: int = 7) -> Machine:
+def fit(texts: list[str], labels: list[int], limits: Limits = LIMITS, epochs: int = 12, rate: float = 0.03, ridge: float = 1e-4, seed: int = 7) -> Machine:
     """Choose terms by how far their share of toxic documents is from chance, then fit by Adam on logistic loss.
 
     Without documents of both labels the machine is a constant: the smoothed share of label 1.
@@ -102,8 +115,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.0
     memo.clear()
     q = pos / n
     z = (toxic - seen * q) / np.sqrt(np.maximum(seen * q * (1 - q), 1e-9))
-    good = np.flatnonzero((seen >= 4) & (np.abs(z) >= LEAST_Z))
-    good = good[np.argsort(-np.abs(z[good]), kind="stable")][:TERMS]
+    good = np.flatnonzero((seen >= 4) & (np.abs(z) >= limits.least_z))
+    good = good[np.argsort(-np.abs(z[good]), kind="stable")][: limits.terms]
     model = Machine(bias, {int(t): i for i, t in enumerate(good)})
     if not len(good):
         return model
@@ -136,27 +149,27 @@ def fit(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.0
     return model
 
 
-def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Machine:
-    """Fit on at most ``sample`` labelled documents outside the held-out fold, chosen by hash of their ids.
+def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limits: Limits = LIMITS) -> Machine:
+    """Fit on at most ``limits.documents`` labelled documents outside the held-out fold, chosen by hash of their ids.
 
     Labels other than 0 and 1 and null ids are passed over. Only the chosen rows' texts reach the driver,
-    one at a time, until ``SAMPLE_CHARS``.
+    one at a time, until ``limits.characters``.
     """
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("id").isNotNull() & (fold(F.col("id")) != 2))
-    chosen = usable.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most ``sample`` pairs of numbers
+    chosen = usable.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(limits.documents)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most ``limits.documents`` pairs of numbers
     rows = rows.select(F.xxhash64("id").alias("h"), "text", "y").orderBy("h", "text")
     texts, ys, size = [], [], 0
     for r in rows.toLocalIterator():
         texts.append(r["text"] or "")
         ys.append(r["y"])
         size += len(texts[-1])
-        if size > SAMPLE_CHARS:
+        if size > limits.characters:
             break
-    return fit(texts, ys)
+    return fit(texts, ys, limits)
 
 
-def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit: float = 0.3, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit: float = 0.3, id_col: str = "doc_id", text_col: str = "text", limits: Limits = LIMITS) -> DataFrame:
     """``id, held_out, score, predicted`` of every row, by its text alone; no shuffle.
 
     Null and empty texts get the bias's score; null ids and repeated rows are scored each; an empty
@@ -164,7 +177,7 @@ def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, lim
     """
     import pyarrow as pa
 
-    model = learned(docs, labels, id_col, text_col, sample=sample)
+    model = learned(docs, labels, id_col, text_col, limits=limits)
     src = docs.select(F.col(id_col), fold(F.col(id_col)).alias("fold"), F.col(text_col).alias("text"))
 
     def run(batches):
@@ -179,11 +192,15 @@ def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, lim
     return src.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
 
 
-def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit: float = 0.3, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that score below ``limit``, all columns as they were; no shuffle."""
+def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit: float = 0.3, id_col: str = "doc_id", text_col: str = "text", limits: Limits = LIMITS) -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, all columns as they were; no shuffle.
+
+    Null and empty texts have the bias's score; rows without an id and repeated rows are judged each; an empty table gives an
+    empty result; without labels of both kinds all rows have one score and stay or go together.
+    """
     import pyarrow as pa
 
-    model, at = learned(docs, labels, id_col, text_col, sample=sample), docs.columns.index(text_col)
+    model, at = learned(docs, labels, id_col, text_col, limits=limits), docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.license_scan import license_scan
 from lectern.llm.pii import BASE, FEATURES, KINDS, boosted, calibrated, pii_spans
-from lectern.llm.toxicity import fit, toxicity_scores
+from lectern.llm.toxicity import Limits, fit, terms, toxicity_scores, without_toxic, words
 
 from .conftest import EDGES, SCHEMA, rows_of
 
@@ -108,6 +108,35 @@ def test_toxicity_learns_and_holds_out(spark, edges, none):
     assert len(flat) == len(EDGES) and len({r.score for r in flat}) == 1
 
 
+def test_score_is_the_plain_sum():
+    """bias + weights + the product of factors of every pair of terms, by a double loop."""
+    import math
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"term{k}" for k in range(30)], k=12)) for _ in range(300)]
+    labels = [int("term1 " in t + " " and "term7 " in t + " ") for t in texts]
+    model = fit(texts, labels, Limits(terms=40, least_z=0.5), epochs=3)
+    assert 10 < len(model.linear) <= 40
+    for t in texts[:40]:
+        rows = sorted({model.weights[h] for w in words(t) for h in terms(w) if h in model.weights})
+        z = model.bias + sum(float(model.linear[r]) for r in rows)
+        for a in range(len(rows)):
+            for b in range(a):
+                z += sum(float(x) * float(y) for x, y in zip(model.factors[rows[a]], model.factors[rows[b]]))
+        assert abs(model.score(t) - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_without_toxic(spark, edges, none):
+    marks = spark.createDataFrame([(i, int(i % 2)) for i in range(14)], "doc_id long, toxic int")
+    out = without_toxic(spark, edges, marks, limit=2.0)
+    assert out.schema == edges.schema and out.count() == len(EDGES)
+    assert without_toxic(spark, edges, marks, limit=0.0).count() == 0
+    assert without_toxic(spark, none, marks).count() == 0
+    scores = {(r.doc_id, r.score) for r in toxicity_scores(spark, edges, marks).collect()}
+    kept = collections.Counter(r.doc_id for r in without_toxic(spark, edges, marks).collect())
+    assert set(kept) == {i for i, s in scores if s < 0.3}
+
+
 def test_pairs_matter():
     """Two terms that mean something only together: additive weights can't part these."""
     texts = ["alpha"] * 200 + ["bravo"] * 200 + ["alpha bravo"] * 200 + ["charlie"] * 200

@@ -118,10 +118,16 @@ def test_token_files(spark, edges, none, library):
     assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
     assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
     for row in manifest.collect():
-        file = TokenFile(row.tokens_path)
-        n = -(-row.n_tokens // 64)
-        assert sum(int(file.sequence(i)[1].sum()) for i in range(n)) == row.n_tokens
-        assert not file.sequence(0)[0].flags.owndata and len(file.sequence(n - 1)[0]) == 64
+        with TokenFile(row.tokens_path) as file:
+            n = -(-row.n_tokens // 64)
+            assert sum(file.sequence(i)[1].true_count for i in range(n)) == row.n_tokens
+            ids, mask = file.sequence(n - 1)
+            batch = file.held((n - 1) // 512)
+            assert len(ids) == len(mask) == 64 and not ids.flags.owndata
+            assert mask.buffers()[1].address == batch.column(1).flatten().buffers()[1].address  # the batch's own bits
+            whole = np.concatenate([file.sequence(i)[0] for i in range(n)])[: row.n_tokens]
+            assert np.concatenate(list(file.tokens(0, row.n_tokens))).tolist() == whole.tolist()
+            del ids, mask, batch
     empty, kind = write_token_files(none, VOCABULARY, scratch(spark, "test-none"), end_id=2)
     assert read_token_files(empty, kind).count() == 0
 
