@@ -10,6 +10,7 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.store import small_batches
 from lectern.llm.units import IdCoder, slices
 
 #: Adjacent pairs that one worker remembers before it starts afresh.
@@ -119,6 +120,7 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", t
     """
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col), F.col(text_col).alias("text"))
 
     def run(batches):
@@ -149,10 +151,12 @@ def decoded(encodings: DataFrame, ranks: str, pattern: str, id_col: str = "doc_i
 def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_tokens, ids_sha256, decoded_sha256``: encode, then decode the ids, in one pass.
 
-    Null and empty texts have 0 tokens and the digest of nothing, twice.
+    Null and empty texts have 0 tokens and the digest of nothing, twice; null ids and repeated rows stay, each with its own figures; an empty
+    table gives an empty result; other columns are not read, whatever their names.
     """
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col), F.col(text_col).alias("text"))
 
     def run(batches):

@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.store import dropped, scratch, written
+from lectern.llm.store import dropped, scratch, small_batches, written
 
 #: Texts in a part of a block, about. A shingle in more than one of so many documents is put last.
 PART, RARE = 1000, 1000
@@ -218,15 +218,18 @@ def common_shingles(src: DataFrame, n_docs: int, rare: int = RARE) -> list[int]:
 
         bits = 1 << 20
         for batch in batches:
-            for part in slices(batch):
-                h, _, edges = shingles(part.column(1))
-                ends = edges[1:]
-                whole = np.ones(len(h), dtype=bool)
-                over = (ends[:, None] - np.arange(1, 5)).ravel()
-                whole[over[(over >= 0) & (over < len(h))]] = False
-                h = h[whole]
-                least = max(4, len(edges) // (4 * rare))
-                bucket = (h & np.uint64(bits - 1)).astype(np.int64)
+            for large in slices(batch):
+                held = []
+                for part in slices(large, 1, SLICE):
+                    h, _, edges = shingles(part.column(1))
+                    ends = edges[1:]
+                    whole = np.ones(len(h), dtype=bool)
+                    over = (ends[:, None] - np.arange(1, 5)).ravel()
+                    whole[over[(over >= 0) & (over < len(h))]] = False
+                    held.append(h[whole])
+                h = np.concatenate(held)
+                least = max(4, large.num_rows // (4 * rare))
+                bucket = (h & np.uint64(bits - 1)).astype(np.int32)
                 full = np.bincount(bucket, minlength=bits) >= least
                 tokens, n = np.unique(h[full[bucket]], return_counts=True)
                 tokens, n = tokens[n >= least], n[n >= least]
@@ -618,6 +621,7 @@ def near_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     Rows of one id and different texts share the id's component. Repeated rows stay rows. An empty table gives
     an empty result; columns other than id and text are not read. ``part``, ``rare`` and ``first_pairs`` change how work is dealt, never the result.
     """
+    small_batches(spark)
     made: list[str] = []
 
     def kept(df: DataFrame, label: str) -> DataFrame:

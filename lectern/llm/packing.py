@@ -17,7 +17,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.store import scratch, written
+from lectern.llm.store import scratch, small_batches, written
 from lectern.llm.units import library_ids, slices
 
 #: Groups of large lengths; from this share of a sequence on, a length is large.
@@ -197,6 +197,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, size: int, end_id: int, id_col:
     """``id_col, piece, start, length, ids_crc32`` and, for the packing, ``task`` and ``rank`` (among the task's pieces of the length)."""
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     names = [id_col, "piece", "start", "length", "ids_crc32", "task", "rank"]
 

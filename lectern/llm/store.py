@@ -46,6 +46,16 @@ def workspace(spark: SparkSession, label: str) -> Iterator[str]:
         dropped(spark, path)
 
 
+#: Bytes of an Arrow batch, about, where the session does not say otherwise; Spark's own default is 64 MB, held by JVM and worker at once.
+BATCH_BYTES, BATCH_SETTING = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches of about ``BATCH_BYTES``; a value that the session has set stays."""
+    if spark.conf.get(BATCH_SETTING, "67108864b") == "67108864b":
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 #: Spark removes the shuffle files of a query as it ends.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

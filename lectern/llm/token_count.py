@@ -10,6 +10,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.store import small_batches
 from lectern.llm.units import UnitCoder, byte_letters, slices
 
 
@@ -100,6 +101,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col), F.col(text_col).alias("text"))
 
     def count(batches):

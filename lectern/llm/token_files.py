@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.store import scratch, written
+from lectern.llm.store import scratch, small_batches, written
 from lectern.llm.units import library_ids, slices
 
 #: Sequences in a record batch.
@@ -127,6 +127,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
     import pyarrow as pa
 
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     src = src.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
 

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.store import small_batches
+
 #: Hash space of terms; latent factors.
 SPACE, FACTORS = 1 << 20, 8
 
@@ -64,7 +66,7 @@ class Machine:
 
     def rows(self, text: str) -> list[int]:
         known, weights, out = self.known, self.weights, set()
-        if len(known) > 400_000:
+        if len(known) > 200_000:
             known.clear()
         for w in words(text):
             if (hit := known.get(w)) is None:
@@ -177,6 +179,7 @@ def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, lim
     """
     import pyarrow as pa
 
+    small_batches(spark)
     model = learned(docs, labels, id_col, text_col, limits=limits)
     src = docs.select(F.col(id_col), fold(F.col(id_col)).alias("fold"), F.col(text_col).alias("text"))
 
@@ -187,6 +190,7 @@ def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, lim
                 scores = [model.score(t or "") for t in part.column(2).to_pylist()]
                 held = pa.array([f == 2 for f in part.column(1).to_pylist()], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0), held, pa.array(scores, pa.float64()), pa.array([int(s >= limit) for s in scores], pa.int32())], [id_col, "held_out", "score", "predicted"])
+        model.known.clear()  # the worker lives on
 
     kind = src.schema[0].dataType.simpleString()
     return src.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
@@ -200,6 +204,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit
     """
     import pyarrow as pa
 
+    small_batches(spark)
     model, at = learned(docs, labels, id_col, text_col, limits=limits), docs.columns.index(text_col)
 
     def run(batches):
@@ -207,5 +212,6 @@ def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 yield part.filter(pa.array([model.score(t or "") < limit for t in part.column(at).to_pylist()], pa.bool_()))
+        model.known.clear()  # the worker lives on
 
     return docs.mapInArrow(run, docs.schema)
