@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 from array import array
 
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.store import small_batches
-from lectern.llm.units import IdCoder, slices
+from lectern.llm.units import IdCoder, held, slices
 
 #: Adjacent pairs that one worker remembers before it starts afresh.
 PAIRS = 1_000_000
@@ -108,9 +107,8 @@ class Backtracking(IdCoder):
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@functools.lru_cache(maxsize=2)
 def backtracking(path: str, pattern: str) -> Backtracking:
-    return Backtracking(path, pattern)
+    return held(Backtracking, path, pattern)
 
 
 def encoded(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

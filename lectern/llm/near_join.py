@@ -214,8 +214,9 @@ def common_shingles(src: DataFrame, n_docs: int, rare: int = RARE) -> list[int]:
     def run(batches):
         import numpy as np
 
-        from lectern.llm.units import slices
+        from lectern.llm.units import forget, slices
 
+        forget()
         bits = 1 << 20
         for batch in batches:
             for large in slices(batch):
@@ -251,8 +252,9 @@ def sets_of(src: DataFrame, common: list[int]) -> DataFrame:
     def run(batches):
         import xxhash
 
-        from lectern.llm.units import slices
+        from lectern.llm.units import forget, slices
 
+        forget()
         for batch in batches:
             for part in slices(batch, 1, SLICE):
                 rows = []
@@ -277,7 +279,9 @@ def block_links(texts: DataFrame) -> DataFrame:
     def run(batches):
         import numpy as np
 
-        from lectern.llm.units import slices
+        from lectern.llm.units import forget, slices
+
+        forget()
 
         def rows():  # texts become sets as they come
             for batch in batches:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import re
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.store import small_batches
-from lectern.llm.units import UnitCoder, byte_letters, slices
+from lectern.llm.units import UnitCoder, byte_letters, held, slices
 
 
 class MergeCounts(UnitCoder):
@@ -86,9 +85,8 @@ class MergeCounts(UnitCoder):
         return np.diff(sums[offsets])
 
 
-@functools.lru_cache(maxsize=4)
 def merge_counts(path: str) -> MergeCounts:
-    return MergeCounts(path)
+    return held(MergeCounts, path)
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -184,6 +184,9 @@ def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, lim
     src = docs.select(F.col(id_col), fold(F.col(id_col)).alias("fold"), F.col(text_col).alias("text"))
 
     def run(batches):
+        from lectern.llm.units import forget
+
+        forget()
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
@@ -208,6 +211,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit
     model, at = learned(docs, labels, id_col, text_col, limits=limits), docs.columns.index(text_col)
 
     def run(batches):
+        from lectern.llm.units import forget
+
+        forget()
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)

@@ -200,7 +200,25 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
 
 
-@functools.lru_cache(maxsize=4)
+_held: dict = {}
+
+
+def held(kind: type, *args: str):
+    """One encoder for each Python worker; another one takes its place, so a worker holds the memory of one."""
+    if (key := (kind, *args)) not in _held:
+        forget()
+        _held[key] = kind(*args)
+    return _held[key]
+
+
+def forget() -> None:
+    """Drop the encoder that this worker holds; operators without one begin with this, as workers outlive stages."""
+    import pyarrow as pa
+
+    if _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def library_ids(path: str) -> LibraryIds:
-    """One encoder for each Python worker and vocabulary file."""
-    return LibraryIds(path)
+    return held(LibraryIds, path)
