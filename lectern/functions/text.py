@@ -7,10 +7,20 @@ import re
 import sys
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space as the rules have it, and the characters of words.
+SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+WORD = r"[\p{L}\p{N}_]"
+#: Fixed value: the words that only list.
+SEPARATORS = ("and", "or", "e", "ed", "o", "oppure", "y", "et", "ou", "und", "oder", "と", "や", "および", "ならびに", "また", "かつ")
+#: A URL, and the line at which a text's appendix begins.
+URL, APPENDIX = r"https?://\S+", "SECONDARY ELEMENT:"
+
+
 def char_class(test) -> str:
     """A regular-expression class of the characters that pass ``test``, as ranges."""
     out, start, last = [], None, None
@@ -53,9 +63,38 @@ def token_estimate(text: Column) -> Column:
     return (wide + F.floor((F.length(text) - wide + 3) / 4)).cast("long")
 
 
+def nfkc(text: Column) -> Column:
+    """Compatibility form, for which Spark has no expression: in Arrow batches. Texts are taken to it once, at ingest."""
+
+    @F.pandas_udf("string")
+    def normal(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return normal(text)
+
+
 def node_name(text: Column) -> Column:
-    """Trimmed, lower case, white space collapsed; the NFKC form is taken at ingest (F1)."""
-    return F.regexp_replace(F.lower(F.trim(text)), r"(?U)\s+", " ")
+    """Lower case, white space collapsed, none at the ends, of a text in NFKC (F1)."""
+    return F.btrim(F.regexp_replace(F.lower(text), SPACE + "+", " "))
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def entity_valid(name: Column) -> Column:
+    """Whether a name may be an entity: three characters or more, two if one is wide, and no address."""
+    plain = stripped(name)
+    return F.coalesce((F.length(plain) >= F.when(plain.rlike(wide_class()), TERM_LEAST_WIDE).otherwise(TERM_LEAST)) & ~F.lower(plain).contains("http"), F.lit(False))
+
+
+def primary_text(text: Column) -> Column:
+    """A text up to its appendix, without the blank lines and rules that are then last."""
+    lines = F.split(text, "\n")
+    at = F.array_position(F.transform(lines, stripped), APPENDIX).cast("int")
+    inline = SPACE.replace(r"\x09-\x0D", r"\x09\x0B-\x0D")
+    kept = F.when(at > 0, F.array_join(F.slice(lines, F.lit(1), at - 1), "\n")).otherwise(text)
+    return F.regexp_replace(kept, rf"(?:(?:\A|\n){inline}*+(?:---{inline}*+)?)+\z", "")
 
 
 TERM_LEAST, TERM_LEAST_WIDE = 3, 2
@@ -85,8 +124,10 @@ def anchor_impossible(text: Column, terms: list[str]) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Words, hyphenated ones whole, and single marks."""
-    return F.regexp_extract_all(text, F.lit(r"(?U)\w+(?:[-_]\w+)*|[^\w\s]"), F.lit(0))
+    """Words, hyphenated ones whole, and single marks; each wide character stands alone (F7). ``chunk.word_spans`` has their places."""
+    found = F.regexp_extract_all(text, F.lit(rf"{WORD}+(?:[-_]{WORD}+)*|[^{WORD[1:-1]}{SPACE[1:-1]}]"), F.lit(0))
+    parts = F.flatten(F.transform(found, lambda w: F.regexp_extract_all(w, F.lit(f"{wide_class()}|[^{wide_class()[1:]}+"), F.lit(0))))
+    return F.when(text.rlike(wide_class()), parts).otherwise(found)
 
 
 def sentence_count(text: Column) -> Column:
@@ -96,13 +137,13 @@ def sentence_count(text: Column) -> Column:
 
 
 def without_urls(text: Column) -> Column:
-    return F.regexp_replace(text, r"https?://\S+", "")
+    return F.regexp_replace(text, URL, "")
 
 
 def enumerates(between: Column) -> Column:
-    """Whether the text between two mentions only lists: nothing but marks and white space, and ``and`` in five languages."""
-    left = F.regexp_replace(F.lower(F.coalesce(between, F.lit(""))), r"(?U)\b(?:and|e|ed|et|und|y|o|or)\b|[^\w]", "")
-    return left == ""
+    """Whether the text between two mentions, in NFKC, only lists: its letters are none, or one of the words that list."""
+    left = F.regexp_replace(F.lower(F.coalesce(between, F.lit(""))), f"[^{WORD[1:]}+", "")
+    return left.isin("", *SEPARATORS)
 
 
 def base_name(path: Column) -> Column:
@@ -156,3 +197,38 @@ def without_ansi(text: Column) -> Column:
 def clamped(value: Column, low: float, high: float) -> Column:
     """A number from text, held between bounds; not a number gives null."""
     return F.least(F.greatest(value.try_cast("double"), F.lit(low)), F.lit(high))
+
+
+def whole_numbers(values: Column) -> Column:
+    """The numbers of a list of texts, cut to whole ones; others are passed over."""
+    return F.transform(F.filter(F.transform(values, lambda v: v.try_cast("double")), lambda v: v.isNotNull() & ~F.isnan(v)), lambda v: v.cast("long"))
+
+
+def row_numbers(values: Column) -> Column:
+    """Distinct positive numbers, in order (U8)."""
+    return F.array_distinct(F.filter(values, lambda v: v > 0))
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is JSON."""
+    return F.coalesce(F.try_parse_json(text).isNotNull(), F.lit(False))
+
+
+def parent_path(path: Column) -> Column:
+    """What stands before the last slash; empty without one."""
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
+def clean_path(path: Column) -> Column:
+    """Slashes run together, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(path, "/+", "/"), "^/|/$", "")
+
+
+def relative_path(path: Column, root: Column) -> Column:
+    """A path below ``root``, as seen from it; null for one that is not."""
+    return F.when(path.startswith(F.concat(root, F.lit("/"))), F.substring(path, F.length(root) + 2, F.length(path)))
+
+
+def uploadable(mime: Column, size: Column, kinds: list[str], most_mb: int) -> Column:
+    """Whether a file's type is on the list and its size within the limit."""
+    return F.coalesce(mime.isin(kinds) & (size <= most_mb * 1024 * 1024), F.lit(False))

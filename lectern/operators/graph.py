@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import enumerates
+from lectern.functions.text import entity_valid, enumerates, node_name
 from lectern.operators.vector import first_in, l2
 
 #: Characters between two mentions of one relation, at most; seeds and edges of a traversal.
@@ -36,6 +36,22 @@ def longest_per(rows: DataFrame, by: list[str], text: str, id_col: str) -> DataF
     return first_in(rows, by, [-F.length(text), F.col(id_col)])
 
 
+def node_detail(nodes: DataFrame, names: list[str] | DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """``name_normalized, name, type, description, id`` of the named nodes, each by its longest description.
+
+    ``names`` are a short list or a table ``name_normalized``; with ``files`` (``file_id``) only their nodes count.
+    """
+    some = nodes.filter(F.col("name_normalized").isin(names) if names else F.lit(False)) if isinstance(names, list) else nodes.join(names.select("name_normalized"), "name_normalized", "left_semi")
+    some = some if files is None else some.join(files.select("file_id"), "file_id", "left_semi")
+    return longest_per(some.select("name_normalized", "name", "type", "description", "id"), ["name_normalized"], "description", "id")
+
+
+def entity_first(mentions: DataFrame) -> DataFrame:
+    """The first mention of each name in a chunk (``chunk_id, name, start`` and more), of those that may be entities; adds ``normal``."""
+    valid = mentions.filter(entity_valid(F.col("name"))).withColumn("normal", node_name(F.col("name")))
+    return first_in(valid, ["chunk_id", "normal"], ["start"])
+
+
 def upserted(nodes: DataFrame, by: list[str], seq: str = "seq") -> DataFrame:
     """Insert order decides: name and type of the first row, description of the first that has one."""
     order = F.col(seq)

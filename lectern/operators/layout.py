@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,16 +15,92 @@ def modal_margin(items: DataFrame, by: list[str], x: str, seq: str, bucket: floa
     return of.groupBy(*by).agg(F.min_by("margin", F.struct(-F.col("_n"), F.col("_q"))).alias("margin"))
 
 
+def at_index(items: DataFrame, by: list[str], x: str, index: Column, name: str) -> DataFrame:
+    """``by, name``: the value at a place of the sorted values of each group, ``index`` being of ``_all``, their number.
+
+    Equal values are counted first, map-side; a group's distinct values are then ranked in a sort that may spill.
+    """
+    counts = items.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias(name)).agg(F.count(F.lit(1)).alias("_n"))
+    line = Window.partitionBy(*by).orderBy(name)
+    upto = counts.withColumn("_upto", F.sum("_n").over(line)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
+    return upto.filter((F.col("_upto") > index) & (F.col("_upto") - F.col("_n") <= index)).select(*by, name)
+
+
 def index_percentile(items: DataFrame, by: list[str], x: str, share: float = 0.95) -> DataFrame:
-    """``by, edge``: the value at ``min(n - 1, int(share * n))`` in sorted order (A8); a group is a page's items."""
-    n = F.size("_v")
-    return items.groupBy(*by).agg(F.sort_array(F.collect_list(x)).alias("_v")).select(*by, F.get("_v", F.least(n - 1, F.floor(n * share).cast("int"))).alias("edge"))
+    """``by, edge``: the value at ``min(n - 1, int(share * n))`` in sorted order."""
+    n = F.col("_all")
+    return at_index(items, by, x, F.least(n - 1, F.floor(n * share)), "edge")
 
 
 def upper_median(items: DataFrame, by: list[str], x: str) -> DataFrame:
     """``by, size``: sorted ``[n // 2]``, 12 if that is not positive (A10)."""
-    v = F.sort_array(F.collect_list(x))
-    return items.groupBy(*by).agg(v.alias("_v")).select(*by, F.get("_v", F.floor(F.size("_v") / 2).cast("int")).alias("size")).withColumn("size", F.when(F.col("size") > 0, F.col("size")).otherwise(12))
+    return at_index(items, by, x, F.floor(F.col("_all") / 2), "size").withColumn("size", F.when(F.col("size") > 0, F.col("size")).otherwise(12))
+
+
+#: Labels of a page's second flow; the least score of a detection, and of a caption; widest caption, as a share of the page.
+SECONDARY = ("image", "figure_title", "chart", "table", "formula", "formula_number", "algorithm", "aside_text", "footnote", "footer", "number", "seal")
+DETECTED, CAPTION, CAPTION_WIDE = 0.3, 0.6, 0.5
+#: A wide item's share of the content's width, the share of wide items of a single column; how near margins and bands are, and how far boxes may overlap, as shares of the page.
+WIDE, SINGLE, MARGIN_NEAR, BAND_NEAR, OVERLAP = 0.7, 0.15, 0.05, 0.05, 0.01
+
+
+def flow(label: Column) -> Column:
+    """``main`` or ``secondary``."""
+    return F.when(label.isin(*SECONDARY), "secondary").otherwise("main")
+
+
+def detections(items: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
+    """Boxes (``label, score, x0, y0, x1, y1``) of a page (``width``, ``height``): those detected well enough, clipped to the page; what is left of no area goes.
+
+    A caption that is weak or wide is text (P19). ``box`` is the clipped box in whole numbers, halves to the even one.
+    """
+    clip = lambda c, most: F.greatest(F.lit(0.0), F.least(F.col(c), F.col(most).cast("double")))
+    df = items.filter(F.col("score") >= DETECTED).withColumns({"x0": clip("x0", width), "y0": clip("y0", height), "x1": clip("x1", width), "y1": clip("y1", height)})
+    df = df.filter("x1 > x0 and y1 > y0")
+    weak = (F.col("label") == "figure_title") & ((F.col("score") < CAPTION) | (F.col("x1") - F.col("x0") > F.col(width) * CAPTION_WIDE))
+    return df.withColumn("label", F.when(weak, "text").otherwise(F.col("label"))).withColumn("box", F.array(*[F.bround(c).cast("int") for c in ("x0", "y0", "x1", "y1")]))
+
+
+def flow_statistics(items: DataFrame, by: list[str], seq: str, x0: str = "x0", x1: str = "x1", bucket: float = 0.02) -> DataFrame:
+    """``by, margin, edge, single``: of a document's main items, in shares of the page, the modal left margin (A7), the right edge (A8), and
+    whether enough of them are wide for one column (A9). Documents without main items have no row."""
+    stats = modal_margin(items, by, x0, seq, bucket).join(index_percentile(items, by, x1), by)
+    wide = (F.col(x1) - F.col(x0)) >= (F.col("edge") - F.col("margin")) * WIDE
+    share = items.join(stats, by).groupBy(*by).agg((F.count_if(wide) >= F.count(F.lit(1)) * SINGLE).alias("single"))
+    return stats.join(share, by)
+
+
+def lateral(items: DataFrame, references: DataFrame, by: list[str], item: str = "item") -> DataFrame:
+    """Main items of a page (``by, item, x0, y0, x1, y1`` in shares of it, ``margin``) that stand beside the column.
+
+    An item off the margin is lateral if it begins where a secondary item (``by, at``) does, or if an item on the margin
+    shares some of its height and none of its width. A page's items meet each other only.
+    """
+    off = F.abs(F.col("x0") - F.col("margin")) > MARGIN_NEAR
+    away, on = items.filter(off), items.filter(~off)
+    named = references.select(*by, F.col("at").alias("_at"))
+    beside = on.select(*by, *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
+    same = lambda other: reduce(lambda a, b: a & b, [away[c] == other[c] for c in by])
+    begins = away.join(named, same(named) & (F.abs(F.col("x0") - F.col("_at")) <= BAND_NEAR), "left_semi")
+    shares = F.least("y1", "_y1") - F.greatest("y0", "_y0") > 0
+    apart = (F.col("_x1") <= F.col("x0") + OVERLAP) | (F.col("x1") <= F.col("_x0") + OVERLAP)
+    next_to = away.join(beside, same(beside) & shares & apart, "left_semi")
+    return begins.union(next_to).select(*by, item).distinct()
+
+
+def confirmed_bands(bands_: DataFrame, references: DataFrame, doc: str = "doc", page: str = "page", low: str = "low") -> DataFrame:
+    """Bands (``doc, page, low``) that begin near a band of another page of the document, or near a secondary item (``doc, page, at``) of their own.
+
+    Joined on buckets of the range and their neighbours, so that only what is near meets.
+    """
+    cut = lambda c: F.floor(c / BAND_NEAR)
+    own = bands_.withColumn("_cut", F.explode(F.sequence(cut(F.col(low)) - 1, cut(F.col(low)) + 1)))
+    others = bands_.select(F.col(doc).alias("_doc"), F.col(page).alias("_page"), F.col(low).alias("_low"), cut(F.col(low)).alias("_c")).distinct()
+    near = F.abs(F.col(low) - F.col("_low")) <= BAND_NEAR
+    seen = own.join(others, (F.col(doc) == F.col("_doc")) & (F.col("_cut") == F.col("_c")) & (F.col(page) != F.col("_page")) & near, "left_semi")
+    items = references.select(F.col(doc).alias("_doc"), F.col(page).alias("_page"), F.col("at").alias("_low"), cut(F.col("at")).alias("_c"))
+    named = own.join(items, (F.col(doc) == F.col("_doc")) & (F.col(page) == F.col("_page")) & (F.col("_cut") == F.col("_c")) & near, "left_semi")
+    return seen.union(named).drop("_cut").distinct()
 
 
 def weighted_mode(items: DataFrame, by: list[str], x: str, weight: str, seq: str) -> DataFrame:
@@ -31,18 +109,27 @@ def weighted_mode(items: DataFrame, by: list[str], x: str, weight: str, seq: str
     return of.groupBy(*by).agg(F.min_by(x, F.struct(-F.col("_w"), F.col("_q"))).alias("mode"))
 
 
-def assigned(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Each point (``page, point, x, y``) with the largest box (``page, box, x0, y0, x1, y1``) that holds it, the first of equals."""
-    held = points.join(boxes, "page").filter(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
+def assigned(points: DataFrame, boxes: DataFrame, cell: float | None = None) -> DataFrame:
+    """Each point (``page, point, x, y``) with the largest box (``page, box, x0, y0, x1, y1``) that holds it, the first of equals.
+
+    Of boxes alike the first stays. Boxes are dealt to the cells of a grid that they touch (``cell`` wide and high; the mean of the boxes' sides
+    if not given), points to their cell, so a point meets only the boxes around it.
+    """
+    alike = boxes.groupBy("page", "x0", "y0", "x1", "y1").agg(F.min("box").alias("box"))
+    if cell is None:
+        cell = alike.agg(F.avg((F.col("x1") - F.col("x0") + F.col("y1") - F.col("y0")) / 2)).head()[0] or 1.0
+    at = lambda c: F.floor(F.col(c) / F.lit(float(cell)))
+    spread = alike.filter("x0 <= x1 and y0 <= y1").withColumn("_i", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("_j", F.explode(F.sequence(at("y0"), at("y1"))))
+    held = points.withColumn("_i", at("x")).withColumn("_j", at("y")).join(spread, ["page", "_i", "_j"]).filter(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     return held.groupBy("page", "point").agg(F.min_by("box", F.struct(-area, F.col("box"))).alias("box"))
 
 
 def bands(spans: DataFrame, by: list[str], low: str, high: str) -> DataFrame:
-    """``by, band, low, high, n``: spans that overlap or touch, as one."""
+    """``by, band, low, high, n``: spans that overlap, as one; spans that only touch are two."""
     line = Window.partitionBy(*by).orderBy(low, high)
     reach = F.max(high).over(line.rowsBetween(Window.unboundedPreceding, -1))
-    df = spans.withColumn("_new", (F.coalesce(F.col(low) > reach, F.lit(True))).cast("int"))
+    df = spans.withColumn("_new", (F.coalesce(F.col(low) >= reach, F.lit(True))).cast("int"))
     df = df.withColumn("band", F.sum("_new").over(line))
     return df.groupBy(*by, "band").agg(F.min(low).alias("low"), F.max(high).alias("high"), F.count(F.lit(1)).alias("n"))
 

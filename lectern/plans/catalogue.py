@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.expression import math_expression
-from lectern.operators import chunk, graph, layout, rank, vector
-from lectern.sources.files import file_type
+from lectern.operators import chunk, graph, layout, rank, records, vector
+from lectern.sources import files
 from lectern.sources.store import insert_ignore
 from lectern.streaming.ingest import window_counts
 
@@ -56,10 +56,11 @@ def vec_nearest_per_file(spark, sf_dir):
 
 
 def prompts(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    """The stated queries of the searches: every row whose id is divisible by 50, against all rows."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d FROM embeddings e, embeddings q WHERE q.vec_id < 20)
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)
 SELECT query_id, vec_id, round(d, 4) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)::INT AS rank FROM s QUALIFY rank <= 5""")
 def vec_batch_knn(spark, sf_dir):
     near = vector.batch_knn(table(spark, sf_dir, "embeddings"), prompts(spark, sf_dir), 5, "vec_id")
@@ -72,7 +73,7 @@ def vec_limit_then_filter(spark, sf_dir):
     return vector.knn(table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir), 24, "vec_id").filter("label < 5").select("vec_id", "label")
 
 
-CITED = """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS seq, e.label AS file_id, list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance, 1 / (1 + exp(-10 * e.embedding[1]::DOUBLE)) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 20),
+CITED = """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS seq, e.label AS file_id, list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance, 1 / (1 + exp(-10 * e.embedding[1]::DOUBLE)) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
 g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, seq) AS n FROM s),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id, file_id ORDER BY distance, seq) AS m FROM s),
 c AS (SELECT query_id, seq, file_id, distance, score FROM g WHERE n <= 24 AND distance <= 1.24 UNION SELECT query_id, seq, file_id, distance, score FROM f WHERE m = 1),
@@ -83,11 +84,10 @@ u AS (SELECT *, 1 / (60.0::DOUBLE + rd) + 1 / (60.0::DOUBLE + rs) AS fusion, max
 def candidates(spark, sf_dir):
     """Chunk candidates of each prompt: the nearest 24 within the gate, and the nearest of each file; first wins."""
     rows = table(spark, sf_dir, "embeddings").withColumn("score", rank.sigmoid(10 * F.get("embedding", F.lit(0)).cast("double")))
-    all_files = rows.crossJoin(F.broadcast(prompts(spark, sf_dir))).withColumn("distance", vector.l2(F.col("embedding"), F.col("query_vector")))
-    all_files = all_files.select("query_id", F.col("vec_id").alias("seq"), F.col("label").alias("file_id"), "distance", "score")
+    shown = ["query_id", F.col("vec_id").alias("seq"), F.col("label").alias("file_id"), "distance", "score"]
     near = vector.batch_knn(rows, prompts(spark, sf_dir), 24, "vec_id").filter(F.col("distance") <= rank.GATE)
-    near = near.select("query_id", F.col("vec_id").alias("seq"), F.col("label").alias("file_id"), "distance", "score")
-    return near.union(vector.first_in(all_files, ["query_id", "file_id"], ["distance", "seq"]).select(near.columns)).distinct()
+    of_files = vector.batch_nearest(rows, prompts(spark, sf_dir), "label", "vec_id")
+    return near.select(*shown).union(of_files.select(*shown)).distinct()
 
 
 @query(CITED + " SELECT query_id, seq, file_id, round(distance, 4) AS distance, round(score, 4) AS score, round(fusion, 6) AS fusion, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion DESC, rd, seq) AS place FROM u WHERE op = 1 AND bf >= 0.175 * ba) WHERE place <= 8")
@@ -107,7 +107,7 @@ def domain_gate(spark, sf_dir):
     return rank.gated(candidates(spark, sf_dir)).select("query_id", "seq", "file_id")
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS seq, 1 / (1 + exp(-10 * e.embedding[1]::DOUBLE)) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), e.vec_id) AS n FROM embeddings e, embeddings q WHERE q.vec_id < 20),
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS seq, 1 / (1 + exp(-10 * e.embedding[1]::DOUBLE)) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), e.vec_id) AS n FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
 p AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM s WHERE n <= 12)
 SELECT query_id, seq, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq)::INT AS place FROM p WHERE best > 0.25 AND score > 0.0005 AND score >= 0.175 * best QUALIFY place <= 8""")
 def seed_select(spark, sf_dir):
@@ -165,8 +165,16 @@ def graph_edges_known(spark, sf_dir):
 @query("""SELECT n_name AS label, coalesce(r_name, '-') AS file, CASE n_regionkey WHEN 0 THEN 'red' WHEN 1 THEN 'blue' ELSE 'grey' END AS colour FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey""")
 def graph_nodes(spark, sf_dir):
     regions = table(spark, sf_dir, "region").filter("r_regionkey < 3")
-    out = table(spark, sf_dir, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return out.select(F.col("n_name").alias("label"), F.coalesce("r_name", F.lit("-")).alias("file"), F.when(F.col("n_regionkey") == 0, "red").when(F.col("n_regionkey") == 1, "blue").otherwise("grey").alias("colour"))
+    return records.page_nodes(table(spark, sf_dir, "nation"), regions, "n_regionkey", "r_regionkey", "n_name", "r_name")
+
+
+@query("""SELECT lower(p_brand) AS name_normalized, p_brand AS name, p_type AS type, p_name AS description, p_partkey AS id FROM part JOIN supplier ON p_size = s_suppkey
+WHERE lower(p_brand) IN ('brand#1', 'brand#11', 'brand#17') AND s_acctbal > 0 QUALIFY row_number() OVER (PARTITION BY lower(p_brand) ORDER BY length(p_name) DESC, p_partkey) = 1""")
+def node_detail(spark, sf_dir):
+    """Parts as nodes named by their brand, in files numbered by their size; only files whose supplier has credit count."""
+    nodes = table(spark, sf_dir, "part").select(F.lower("p_brand").alias("name_normalized"), F.col("p_brand").alias("name"), F.col("p_type").alias("type"), F.col("p_name").alias("description"), F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("file_id"))
+    of = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("file_id"))
+    return graph.node_detail(nodes, ["brand#1", "brand#11", "brand#17"], of)
 
 
 @query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), e AS (SELECT l_orderkey * 8 + l_linenumber AS id, 'p' || l_partkey AS s, 's' || l_suppkey AS t FROM lineitem),
@@ -212,28 +220,40 @@ p AS (SELECT a.chunk_id, a.name AS source, b.name AS target FROM h a JOIN h b ON
 SELECT DISTINCT chunk_id, source, target FROM p""")
 def relation_pairs(spark, sf_dir):
     """Mentions are capitalised words; only a space between two of them enumerates, other words do not."""
-    words = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.posexplode(F.split("text", " ")).alias("i", "w"))
-    line = Window.partitionBy("chunk_id").orderBy("i")
-    placed = words.withColumn("start", F.coalesce(F.sum(F.length("w") + 1).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    mentions = placed.filter(F.col("w").rlike("^[A-Z][a-z]+$")).select("chunk_id", F.lit(0).alias("sentence"), "start", (F.col("start") + F.length("w")).alias("stop"), F.lower("w").alias("name"))
+    mentions = capitals(spark, sf_dir).select("chunk_id", F.lit(0).alias("sentence"), "start", "stop", F.lower("name").alias("name"))
     before = F.lag("stop").over(Window.partitionBy("chunk_id").orderBy("start"))
     mentions = mentions.withColumn("between", F.when(F.col("start") - before > 1, "other words").otherwise(" "))
     return graph.relation_pairs(mentions).select("chunk_id", "source", "target")
 
 
+def capitals(spark, sf_dir):
+    """``chunk_id, start, stop, name``: the capitalised words of each turn."""
+    words = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.posexplode(F.split("text", " ")).alias("i", "w"))
+    line = Window.partitionBy("chunk_id").orderBy("i")
+    placed = words.withColumn("start", F.coalesce(F.sum(F.length("w") + 1).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    return placed.filter(F.col("w").rlike("^[A-Z][a-z]+$")).select("chunk_id", "start", (F.col("start") + F.length("w")).alias("stop"), F.col("w").alias("name"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i, unnest(string_split(text, ' ')) AS w FROM conversations),
+s AS (SELECT *, coalesce(sum(length(w) + 1) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM t)
+SELECT conv_id * 1000 + turn AS chunk_id, w AS name, lower(w) AS normal, st::INT AS start FROM s WHERE regexp_full_match(w, '[A-Z][a-z]+') AND length(w) >= 3 AND NOT contains(lower(w), 'http')
+QUALIFY row_number() OVER (PARTITION BY conv_id, turn, lower(w) ORDER BY st) = 1""")
+def entity_first(spark, sf_dir):
+    """The first of each name in a turn, of the names that may be entities."""
+    return graph.entity_first(capitals(spark, sf_dir).select("chunk_id", "name", "start"))
+
+
 # Predicates and sets
 
 
 @query("""SELECT name FROM (SELECT DISTINCT lower(p_name) AS name FROM part WHERE lower(p_name) LIKE '%ring%' OR lower(p_name) LIKE '%bolt%') ORDER BY length(name), name LIMIT 24""")
 def name_like_shortest(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.lower("p_name").alias("name")).filter(F.col("name").contains("ring") | F.col("name").contains("bolt"))
-    return names.distinct().orderBy(F.length("name"), "name").limit(24)
+    return records.names_like(table(spark, sf_dir, "part").select(F.lower("p_name").alias("name")), ["ring", "bolt"], 24, "name")
 
 
 @query("""SELECT doc_id FROM documents WHERE contains(lower(text), '100%_') OR contains(lower(text), '%%%')""")
 def lexical_contains(spark, sf_dir):
-    text = F.lower("text")
-    return table(spark, sf_dir, "documents").filter(text.contains("100%_") | text.contains("%%%")).select("doc_id")
+    return table(spark, sf_dir, "documents").filter(records.holds_any(F.lower("text"), ["100%_", "%%%"])).select("doc_id")
 
 
 @query(r"""SELECT doc_id FROM documents WHERE regexp_matches(lower(coalesce(text, '')), '(?:^|[^\p{L}\p{N}\p{M}_])(?:licen|haen|token)')""")
@@ -257,13 +277,13 @@ SELECT l_orderkey, l_linenumber, chunk FROM r WHERE contains(chunk, chr(10) || '
 def row_lookup(spark, sf_dir):
     chunk_text = F.concat(F.lit("lineitem - sheet\nrow "), F.col("l_orderkey").cast("string"), F.lit(": A="), F.col("l_partkey").cast("string"), F.lit(", B="), F.col("l_suppkey").cast("string"))
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", chunk_text.alias("chunk"))
-    return rows.filter(F.col("chunk").contains("\nrow 7:") | F.col("chunk").contains("\nrow 12:"))
+    return rows.filter(records.holds_row(F.col("chunk"), [7, 12]))
 
 
-@query("""SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey < 100 UNION ALL
-SELECT id, min_by(name, event_id) FROM (SELECT user_id AS id, event_type AS name, event_id FROM events) WHERE id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey < 100) GROUP BY id""")
+@query("""SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_acctbal >= 0 UNION ALL
+SELECT id, min_by(name, event_id) FROM (SELECT user_id AS id, event_type AS name, event_id FROM events) WHERE id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) GROUP BY id""")
 def insert_ignore_rows(spark, sf_dir):
-    have = table(spark, sf_dir, "customer").filter("c_custkey < 100").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    have = table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     new = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("name"), F.col("event_id").alias("seq"))
     return insert_ignore(have, new, ["id"], "seq")
 
@@ -272,24 +292,25 @@ def insert_ignore_rows(spark, sf_dir):
 SELECT 'orders' AS name, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT * FROM gone) UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT * FROM gone)""")
 def delete_cascade(spark, sf_dir):
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    gone = orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("_k"))
-    left = [(n, df.join(gone, F.col(k) == F.col("_k"), "left_anti")) for n, df, k in (("orders", orders, "o_orderkey"), ("lineitem", items, "l_orderkey"))]
-    return left[0][1].agg(F.count(F.lit(1)).alias("n")).select(F.lit(left[0][0]).alias("name"), "n").unionByName(left[1][1].agg(F.count(F.lit(1)).alias("n")).select(F.lit(left[1][0]).alias("name"), "n"))
+    gone = orders.filter("o_orderstatus = 'F'")
+    left = [records.without(orders, gone, {"o_orderkey": "o_orderkey"}), records.without(items, gone, {"l_orderkey": "o_orderkey"})]
+    return left[0].agg(F.count(F.lit(1)).alias("n")).select(F.lit("orders").alias("name"), "n").unionByName(left[1].agg(F.count(F.lit(1)).alias("n")).select(F.lit("lineitem").alias("name"), "n"))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE NOT (c_acctbal < 0) AND c_mktsegment = 'BUILDING'")
 def soft_delete_list(spark, sf_dir):
-    return table(spark, sf_dir, "customer").withColumn("is_delete", F.col("c_acctbal") < 0).filter(~F.col("is_delete") & (F.col("c_mktsegment") == "BUILDING")).select("c_custkey", "c_name")
+    marked = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").withColumn("is_delete", F.col("c_acctbal") < 0)
+    return records.active(marked).select("c_custkey", "c_name")
 
 
 @query("SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), c_name) AS name FROM customer")
 def update_coalesce(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", F.coalesce(F.nullif("c_mktsegment", F.lit("BUILDING")), "c_name").alias("name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", records.updated(F.col("c_mktsegment"), F.col("c_name"), "BUILDING").alias("name"))
 
 
 @query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
 def settings_json(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", records.settings(F.col("props"), "k bigint")["k"].alias("k"))
 
 
 @query("""WITH u AS (SELECT l_orderkey AS k, l_partkey % 10 AS f, 1 AS src, l_linenumber AS seq FROM lineitem WHERE l_quantity < 5 UNION ALL SELECT l_orderkey, l_partkey % 10, 2, l_linenumber FROM lineitem WHERE l_discount > 0.05)
@@ -308,9 +329,10 @@ def rate_window(spark, sf_dir):
 # Text
 
 
-@query(r"""SELECT doc_id, regexp_replace(lower(trim(text, ' ')), '[\s]+', ' ', 'g') AS name FROM documents""")
+@query(r"""SELECT doc_id, trim(regexp_replace(lower(text), '[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' ') AS name FROM documents""")
 def node_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.node_name(F.col("text")).alias("name"))
+    """DuckDB has no NFKC; the documents are in it."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.node_name(T.nfkc(F.col("text"))).alias("name"))
 
 
 @query("SELECT doc_id, ((length(text) + 3) // 4)::BIGINT AS tokens FROM documents")
@@ -318,7 +340,7 @@ def token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+(?:[-_][\p{L}\p{N}\p{M}_]+)*|[^\p{L}\p{N}\p{M}_\s]'))::BIGINT AS n FROM documents""")
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+(?:[-_][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_\s]'))::BIGINT AS n FROM documents""")
 def word_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.words(F.col("text"))).cast("long").alias("n"))
 
@@ -334,10 +356,27 @@ def url_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.without_urls(F.col("html")).alias("html"))
 
 
-@query("""SELECT page_id, list_extract(string_split(url, '/'), -1) AS base, starts_with(url, 'http://') AS plain, len(string_split(url, '/'))::INT AS depth FROM pages""")
+@query("""SELECT page_id, list_extract(string_split(url, '/'), -1) AS base, starts_with(url, 'http://') AS plain, len(string_split(url, '/'))::INT AS depth, regexp_extract(url, '^(.*)/[^/]*$', 1) AS parent,
+regexp_replace(regexp_replace(url, '/+', '/', 'g'), '^/|/$', '', 'g') AS clean, CASE WHEN starts_with(url, regexp_extract(url, '^([^/]*//[^/]*)', 1) || '/') THEN substr(url, length(regexp_extract(url, '^([^/]*//[^/]*)', 1)) + 2) END AS inside FROM pages""")
 def path_rules(spark, sf_dir):
     url = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", T.base_name(url).alias("base"), url.startswith("http://").alias("plain"), F.size(F.split(url, "/")).alias("depth"))
+    paths = [T.parent_path(url).alias("parent"), T.clean_path(url).alias("clean"), T.relative_path(url, F.regexp_extract(url, "^([^/]*//[^/]*)", 1)).alias("inside")]
+    return table(spark, sf_dir, "pages").select("page_id", T.base_name(url).alias("base"), url.startswith("http://").alias("plain"), F.size(F.split(url, "/")).alias("depth"), *paths)
+
+
+@query(r"""WITH t AS (SELECT doc_id, CASE WHEN lang = 'en' THEN text || chr(10) || '---' || chr(10) || '  SECONDARY ELEMENT:' || chr(10) || text ELSE text END AS t FROM documents),
+c AS (SELECT doc_id, CASE WHEN contains(t, 'SECONDARY ELEMENT:') THEN regexp_extract(t, '(?s)^(.*?)\n[ ]*SECONDARY ELEMENT:', 1) ELSE t END AS t FROM t)
+SELECT doc_id, regexp_replace(t, '(\n[ ]*(---)?[ ]*)+$', '') AS main FROM c""".replace("\\\\", "\\"))
+def appendix_cut(spark, sf_dir):
+    """English documents get a copy of themselves as an appendix, which goes again."""
+    text = F.when(F.col("lang") == "en", F.concat("text", F.lit("\n---\n  SECONDARY ELEMENT:\n"), "text")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.primary_text(text).alias("main"))
+
+
+@query("""SELECT event_id, list_transform(list_filter([event_type, value::VARCHAR, '3.9', ''], lambda x: try_cast(x AS DOUBLE) IS NOT NULL), lambda x: trunc(x::DOUBLE)::BIGINT) AS numbers, json_valid(props) AS valid FROM events""")
+def list_coerce(spark, sf_dir):
+    items = F.array("event_type", F.col("value").cast("string"), F.lit("3.9"), F.lit(""))
+    return table(spark, sf_dir, "events").select("event_id", T.whole_numbers(items).alias("numbers"), T.is_json(F.col("props")).alias("valid"))
 
 
 @query("SELECT event_id, least(greatest(value, 10.0), 50.0) AS v FROM events")
@@ -370,7 +409,7 @@ def math_expressions(spark, sf_dir):
 @query("""SELECT p_partkey, CASE WHEN b < 1024 THEN b || ' B' ELSE format('{:.1f}', b / 1024.0) || ' KB' END AS size, CASE WHEN p_partkey % 2 = 0 THEN 'document' ELSE 'image' END AS category FROM (SELECT p_partkey, p_size * 100 AS b FROM part)""")
 def file_detail(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    kind = file_type(F.when(F.col("p_partkey") % 2 == 0, F.encode(F.lit("%PDF-1.7"), "UTF-8")).otherwise(F.encode(F.lit("none"), "UTF-8")), F.lit("a/b.png"))
+    kind = files.file_type(F.when(F.col("p_partkey") % 2 == 0, F.encode(F.lit("%PDF-1.7"), "UTF-8")).otherwise(F.encode(F.lit("none"), "UTF-8")), F.lit("a/b.png"))
     return part.select("p_partkey", T.file_size(F.col("p_size") * 100).alias("size"), kind["category"].alias("category"))
 
 
@@ -382,11 +421,14 @@ def markdown_build(spark, sf_dir):
     return rows.groupBy("l_orderkey").agg(body.alias("body")).select("l_orderkey", F.concat(T.heading(F.lit(1)), F.lit(" "), F.col("l_orderkey").cast("string"), F.lit("\n"), F.col("body")).alias("md"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, 'row ' || l_linenumber || ': A=' || l_partkey || CASE WHEN l_discount > 0 THEN ', B=' || l_suppkey ELSE '' END AS told FROM lineitem""")
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber AS n, 'row ' || l_linenumber || ': A=' || l_partkey || CASE WHEN l_discount > 0 THEN ', B=' || l_suppkey ELSE '' END AS told FROM lineitem),
+t AS (SELECT l_orderkey, 'o.xlsx - ' || l_orderkey || chr(10) || string_agg(told, chr(10) ORDER BY n, told) AS chunk FROM r GROUP BY l_orderkey)
+SELECT l_orderkey, 0::BIGINT AS seq, chunk, ((length(chunk) + 3) // 4)::BIGINT AS tokens FROM t""")
 def table_rows_text(spark, sf_dir):
-    b = F.when(F.col("l_discount") > 0, F.concat(F.lit("B="), F.col("l_suppkey").cast("string")))
-    told = F.concat(F.lit("row "), F.col("l_linenumber").cast("string"), F.lit(": "), F.concat_ws(", ", F.concat(F.lit("A="), F.col("l_partkey").cast("string")), b))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", told.alias("told"))
+    """Each order as a sheet of its lines, chunked; no order is long enough for two chunks."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_discount") > 0, F.col("l_suppkey")).alias("supplier"))
+    sheets = records.sheet_markdown(rows, ["l_orderkey"], "l_linenumber", ["l_partkey", "supplier"], ["A", "B"], F.col("l_orderkey").cast("string"))
+    return chunk.chunked_tables(sheets.withColumn("file", F.lit("o.xlsx")), "l_orderkey", "file")
 
 
 @query()
@@ -423,6 +465,39 @@ def layout_edge(spark, sf_dir):
     return layout.index_percentile(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice")
 
 
+ITEMS = """i AS (SELECT l_suppkey AS doc, l_linenumber AS page, l_orderkey * 8 + l_linenumber AS seq, l_discount AS x0, l_discount + l_quantity / 100 AS x1, l_extendedprice / 100000 AS y0, l_extendedprice / 100000 + l_tax AS y1 FROM lineitem WHERE l_returnflag <> 'R')"""
+
+
+def page_items(spark, sf_dir):
+    """Lines as items of a page in shares of it: a supplier's are a document, a line number's a page; returned lines are secondary."""
+    price = F.col("l_extendedprice") / 100000
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc"), F.col("l_linenumber").alias("page"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.col("l_discount").alias("x0"), (F.col("l_discount") + F.col("l_quantity") / 100).alias("x1"), price.alias("y0"), (price + F.col("l_tax")).alias("y1"), "l_returnflag")
+    return items.filter("l_returnflag != 'R'").drop("l_returnflag"), items.filter("l_returnflag = 'R'").select("doc", "page", F.col("x0").alias("at"))
+
+
+STATS = """b AS (SELECT doc, floor(x0 / 0.02) AS b, count(*) AS n, min(seq) AS q, avg(x0) AS m FROM i GROUP BY 1, 2), m AS (SELECT doc, min_by(m, (-n, q)) AS margin FROM b GROUP BY 1),
+e AS (SELECT doc, list_sort(list(x1))[least(count(*) - 1, floor(count(*) * 0.95)::BIGINT) + 1] AS edge FROM i GROUP BY 1)"""
+
+
+@query("WITH " + ITEMS + ", " + STATS + " SELECT doc, round(any_value(margin), 6) AS margin, round(any_value(edge), 6) AS edge, sum((x1 - x0 >= (edge - margin) * 0.7)::INT) >= count(*) * 0.15 AS single FROM i JOIN m USING (doc) JOIN e USING (doc) GROUP BY doc")
+def layout_stats(spark, sf_dir):
+    out = layout.flow_statistics(page_items(spark, sf_dir)[0], ["doc"], "seq")
+    return out.select("doc", F.round("margin", 6).alias("margin"), F.round("edge", 6).alias("edge"), "single")
+
+
+@query("""WITH p AS (SELECT p_partkey AS item, CASE p_partkey % 3 WHEN 0 THEN 'figure_title' WHEN 1 THEN 'table' ELSE 'text' END AS label, (p_partkey % 10) / 10.0::DOUBLE AS score, (p_partkey * 37 % 900 - 50)::DOUBLE AS x0, (p_partkey * 53 % 900 - 50)::DOUBLE AS y0, p_size * 15.0::DOUBLE AS w, p_size + 0.5::DOUBLE AS h FROM part),
+c AS (SELECT item, label, score, greatest(0, least(x0, 700.0)) AS x0, greatest(0, least(y0, 800.0)) AS y0, greatest(0, least(x0 + w, 700.0)) AS x1, greatest(0, least(y0 + h, 800.0)) AS y1 FROM p WHERE score >= 0.3),
+l AS (SELECT *, CASE WHEN label = 'figure_title' AND (score < 0.6 OR x1 - x0 > 350) THEN 'text' ELSE label END AS told FROM c WHERE x1 > x0 AND y1 > y0)
+SELECT item, told AS label, CASE WHEN told IN ('figure_title', 'table') THEN 'secondary' ELSE 'main' END AS flow, round_even(x0, 0)::INT || ',' || round_even(y0, 0)::INT || ',' || round_even(x1, 0)::INT || ',' || round_even(y1, 0)::INT AS box FROM l""")
+def box_process(spark, sf_dir):
+    """Parts as detections: some weak, some off the page, some captions too wide."""
+    k = F.col("p_partkey")
+    x0, y0 = (k * 37 % 900 - 50).cast("double"), (k * 53 % 900 - 50).cast("double")
+    label = F.when(k % 3 == 0, "figure_title").when(k % 3 == 1, "table").otherwise("text")
+    raw = table(spark, sf_dir, "part").select(k.alias("item"), label.alias("label"), (k % 10 / 10).alias("score"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("p_size") * 15.0).alias("x1"), (y0 + F.col("p_size") + 0.5).alias("y1"), F.lit(700).alias("width"), F.lit(800).alias("height"))
+    return layout.detections(raw).select("item", "label", layout.flow(F.col("label")).alias("flow"), F.array_join(F.col("box").cast("array<string>"), ",").alias("box"))
+
+
 BOXES = """b AS (SELECT p_size AS page, p_partkey AS box, (p_partkey % 7)::DOUBLE AS x0, (p_partkey % 5)::DOUBLE AS y0, p_partkey % 7 + 1.0 + p_partkey % 3 AS x1, p_partkey % 5 + 2.0 AS y1 FROM part)"""
 
 
@@ -436,7 +511,7 @@ def box_assign(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT l_suppkey, l_extendedprice AS lo, l_extendedprice + l_quantity AS hi FROM lineitem),
-n AS (SELECT *, CASE WHEN lo > max(hi) OVER w THEN 1 WHEN max(hi) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY l_suppkey ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+n AS (SELECT *, CASE WHEN lo >= max(hi) OVER w THEN 1 WHEN max(hi) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY l_suppkey ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 b AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS band FROM n)
 SELECT l_suppkey, min(lo) AS low, max(hi) AS high, count(*) AS n FROM b GROUP BY l_suppkey, band""")
 def band_merge(spark, sf_dir):
@@ -445,14 +520,16 @@ def band_merge(spark, sf_dir):
 
 
 def sheet(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").filter("l_orderkey < 500").groupBy((F.col("l_suppkey") % 5).alias("sheet"), F.col("l_orderkey").alias("row"), (F.col("l_partkey") % 12).alias("col")).agg(F.max(F.col("l_partkey").cast("string")).alias("text"))
+    """Sparse cells from every row of lineitem."""
+    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 5).alias("sheet"), F.col("l_orderkey").alias("row"), (F.col("l_partkey") % 12).alias("col")).agg(F.max(F.col("l_partkey").cast("string")).alias("text"))
 
 
-SHEET = "c AS (SELECT l_suppkey % 5 AS sheet, l_orderkey AS row, l_partkey % 12 AS col, max(l_partkey::VARCHAR) AS text FROM lineitem WHERE l_orderkey < 500 GROUP BY 1, 2, 3)"
+SHEET = "c AS (SELECT l_suppkey % 5 AS sheet, l_orderkey AS row, l_partkey % 12 AS col, max(l_partkey::VARCHAR) AS text FROM lineitem GROUP BY 1, 2, 3)"
 
 
 @query("WITH " + SHEET + " SELECT sheet, row, col, CASE WHEN (sheet = 1 AND row BETWEEN 10 AND 90 AND col BETWEEN 2 AND 6) OR (sheet = 2 AND row BETWEEN 0 AND 40 AND col BETWEEN 0 AND 3) THEN '' ELSE text END AS text FROM c")
 def pivot_mask(spark, sf_dir):
+    """The ranges alone decide which cells are blank."""
     ranges = spark.createDataFrame([(1, 10, 2, 90, 6), (2, 0, 0, 40, 3)], "sheet long, r0 long, c0 long, r1 long, c1 long")
     return layout.masked(sheet(spark, sf_dir), ranges)
 
@@ -462,27 +539,6 @@ def densify_rows(spark, sf_dir):
     return layout.dense_rows(sheet(spark, sf_dir)).withColumn("cells", F.array_join("cells", ","))
 
 
-def whole_sheet(spark, sf_dir):
-    """The cells of ``sheet`` from every row of lineitem."""
-    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 5).alias("sheet"), F.col("l_orderkey").alias("row"), (F.col("l_partkey") % 12).alias("col")).agg(F.max(F.col("l_partkey").cast("string")).alias("text"))
-
-
-WHOLE_SHEET = "c AS (SELECT l_suppkey % 5 AS sheet, l_orderkey AS row, l_partkey % 12 AS col, max(l_partkey::VARCHAR) AS text FROM lineitem GROUP BY 1, 2, 3)"
-
-
-@query("WITH " + WHOLE_SHEET + " SELECT sheet, row, col, CASE WHEN (sheet = 1 AND row BETWEEN 10 AND 90 AND col BETWEEN 2 AND 6) OR (sheet = 2 AND row BETWEEN 0 AND 40 AND col BETWEEN 0 AND 3) THEN '' ELSE text END AS text FROM c")
-def pivot_mask_whole(spark, sf_dir):
-    """``pivot_mask`` over the whole table; the ranges alone decide which cells are blank."""
-    ranges = spark.createDataFrame([(1, 10, 2, 90, 6), (2, 0, 0, 40, 3)], "sheet long, r0 long, c0 long, r1 long, c1 long")
-    return layout.masked(whole_sheet(spark, sf_dir), ranges)
-
-
-@query("WITH " + WHOLE_SHEET + ", r AS (SELECT sheet, row, max(col) AS w, map_from_entries(list((col, text))) AS m FROM c GROUP BY 1, 2) SELECT sheet, row, array_to_string(list_transform(range(0, w + 1), lambda i: coalesce(m[i], '')), ',') AS cells FROM r")
-def densify_rows_whole(spark, sf_dir):
-    """``densify_rows`` over the whole table."""
-    return layout.dense_rows(whole_sheet(spark, sf_dir)).withColumn("cells", F.array_join("cells", ","))
-
-
 def page_boxes(spark, sf_dir):
     k = F.col("p_partkey")
     x0, y0 = (k * 37 % 700).cast("double"), (k * 53 % 900).cast("double")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.functions.expression import ExpressionError, evaluate, math_expression, number_text
 from lectern.operators import chunk, graph, rank
-from lectern.sources.files import file_type, listing, whole_texts
+from lectern.sources.files import documents_of, file_type, first_levels, folder_of, listing, whole_texts
 from lectern.sources.store import Store
 from lectern.streaming.ingest import ingest_stream
 
@@ -38,6 +38,46 @@ def test_overlap():
     assert all(a.split(". ")[-1].rstrip(".") in b for a, b in zip(told, told[1:]))
 
 
+def test_relation_chunks_that_are_too_short_go():
+    assert chunk.relation_chunks("Too short.") == []
+    long = " ".join(f"Sentence number {k} is here for good." for k in range(60))
+    told = chunk.relation_chunks(long + " " + "word " * 10)
+    assert all(25 <= chunk.estimate(c) <= 250 for c in told) and len(told) == 3
+
+
+def test_word_spans_and_words(spark):
+    assert list(chunk.word_spans("漢字ab x-y_z! 漢-b")) == [("漢", 0, 1), ("字", 1, 2), ("ab", 2, 4), ("x-y_z", 5, 10), ("!", 10, 11), ("漢", 12, 13), ("-b", 13, 15)]
+    texts = ["漢字ab", "x-y_z! 漢-b", "plain words, 3.14", "", "\u3000é\x1c?", "ａｂ 12"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.words(F.col("t")).alias("w")).collect()
+    assert all(r.w == [w for w, *_ in chunk.word_spans(r.t)] for r in rows), rows
+
+
+def test_names_and_lists(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).head().x
+    assert one(T.node_name(T.nfkc(F.lit("  Ａｂ\u3000 c\t")))) == "ab c" == T.plain_name("  Ａｂ\u3000 c\t")
+    for text, lists in {", ": True, " and ": True, " ": True, " met ": False, " oppure ": True, "、と": True, " ou ": True, "and and": False, " y; ": True, "ならびに": True, None: True}.items():
+        assert one(T.enumerates(F.lit(text).cast("string"))) is lists, text
+    for name, valid in {"ab": False, "abc": True, " ab ": False, "漢字": True, "漢": False, "see http": False, None: False}.items():
+        assert one(T.entity_valid(F.lit(name).cast("string"))) is valid, name
+    assert one(T.whole_numbers(F.array(*map(F.lit, ["3.9", "2", "x", ""])))) == [3, 2]
+    assert one(T.row_numbers(F.array(*map(F.lit, [3, -1, 0, 3, 2])))) == [3, 2]
+
+
+@pytest.mark.parametrize("text", ["a\nb", "a\n---\n \n", "a\nSECONDARY ELEMENT:\nb", " SECONDARY ELEMENT: \nx", "a\n\n--- \n\t\nSECONDARY ELEMENT:\nSECONDARY ELEMENT:", "", "---", "a ---", "x\nSECONDARY ELEMENT: no\n---", "a\r\n---\r"])
+def test_appendix(spark, text):
+    assert spark.range(1).select(T.primary_text(F.lit(text)).alias("t")).head().t == chunk.primary_text(text)
+
+
+def test_table_chunks_by_the_limit():
+    """The tokens of the chunk, the row and one more must fit; a row without cells is one; cells beyond the head go; a first row that is too long leaves the title alone."""
+    head = "# S\n| row | A |\n| --- | --- |\n"
+    assert chunk.table_chunks("f", head + "| 1 | x | y |\n| 2 | |") == ["f - S\nrow 1: A=x\nrow 2: "]
+    assert chunk.table_chunks("f", head + "note\n") == []
+    assert chunk.table_chunks("f", head + f"| 1 | {'x' * 1200} |") == ["f - S", f"f - S\nrow 1: A={'x' * 1200}"]
+    told = chunk.table_chunks("f", head + "\n".join(f"| {k} | {'v' * 80} |" for k in range(40)))
+    assert all(chunk.estimate(c) <= 250 for c in told) and sum(c.count("row ") for c in told) == 40
+
+
 def test_table_chunks():
     told = chunk.table_chunks("f.xlsx", "# S\n| | A | B |\n|---|---|---|\n| 1 | x | |\n| 2 | a\\|b | 3 |\nMerge: A1\n# T\n| | A |\n| 1 | q |")
     assert told == ["f.xlsx - S\nrow 1: A=x\nrow 2: A=a|b, B=3\nMerge: A1", "f.xlsx - T\nrow 1: A=q"]
@@ -125,5 +165,14 @@ def test_stream_stores_each_file_once(spark, tmp_path):
 
 
 def test_file_type(spark):
-    df = spark.createDataFrame([(b"%PDF-1", "x.png"), (b"PK\x03\x04..", "x.zip"), (b"nothing", "x.png"), (b"nothing", "x.q")], "c binary, p string")
-    assert [r.m for r in df.select(file_type(F.col("c"), F.col("p"))["mime"].alias("m")).collect()] == ["application/pdf", "application/zip", "image/png", None]
+    cases = [(b"%PDF-1", "x.png", "pdf"), (b"PK\x03\x04..", "x.zip", "zip"), (b"PK\x03\x04..", "a.docx", "docx"), (b"nothing", "x.PNG", "png"), (b"nothing", "x.q", None), (b"RIFF....WAVE", "x", "wav"), (b"RIFF....WEBP", "x", "webp"), (b"RIFF....none", "x", None)]
+    cases += [(b"....ftypavif", "x", "mp4"), (b"II*\x00", "x", "tiff"), (b"\xff\xd8", "", None), (b"", "a/b.tar.gz", "gz"), (None, "x.md", "md")]
+    df = spark.createDataFrame(cases, "c binary, p string, want string")
+    assert all(r.e == r.want for r in df.select("want", file_type(F.col("c"), F.col("p"))["extension"].alias("e")).collect())
+
+
+def test_listings(spark):
+    df = spark.createDataFrame([("a/a.pdf",), ("a/a.pdf.md",), ("b.txt",), ("c/d/d.md",), ("c/d/x.md",)], "path string")
+    assert {r.name for r in first_levels(df).collect()} == {"a/", "b.txt", "c/"}
+    assert {r.path for r in documents_of(df).collect()} == {"a/a.pdf", "a/a.pdf.md", "c/d/d.md"}
+    assert folder_of(df, "x.md").head().folder == "c/d" and folder_of(df, "none").isEmpty()
