@@ -6,13 +6,13 @@ import unicodedata
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import anchor_impossible, anchored, node_name
+from lectern.functions.text import anchor_impossible, anchored, entity_valid, node_name, stripped, token_estimate
 from lectern.models import Embedder, Reranker, Tagger
-from lectern.operators import chunk, graph, rank
-from lectern.operators.vector import first_in, knn, l2, nearest_per_group
+from lectern.operators import chunk, graph, rank, records
+from lectern.operators.vector import batch_knn, first_in, knn, l2, nearest_per_group
 from lectern.sources.store import Store
 
 POOL, NODE_POOL, NODES, SHORTEST = 24, 12, 8, 3
@@ -29,12 +29,18 @@ def embedded(rows: DataFrame, text: Column, model: Embedder, mode: str = "docume
     return rows.withColumn("embedding", embed(text))
 
 
-def scored(rows: DataFrame, prompt: str, text: Column, model: Reranker) -> DataFrame:
+def scored(rows: DataFrame, prompt: str | dict[int, str], text: Column, model: Reranker) -> DataFrame:
+    """``rows`` with ``score``: how well ``text`` answers the prompt, or that of the row's ``query_id``."""
+    prompts = prompt if isinstance(prompt, dict) else {0: prompt}
+
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(prompt, texts.fillna("").tolist()))
+    def score(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        out = pd.Series(0.0, index=texts.index)
+        for q, some in texts.fillna("").groupby(queries):
+            out.loc[some.index] = model.score(prompts[q], some.tolist())
+        return out
 
-    return rows.withColumn("score", score(text))
+    return rows.withColumn("score", score(F.col("query_id") if isinstance(prompt, dict) else F.lit(0), text))
 
 
 def mentions_of(chunks: DataFrame, tagger: Tagger) -> DataFrame:
@@ -55,18 +61,29 @@ def mentions_of(chunks: DataFrame, tagger: Tagger) -> DataFrame:
 
 
 def ingest(spark: SparkSession, store: Store, tenant: str, name: str, text: str, embedder: Embedder, tagger: Tagger) -> str:
-    """Store one text under a name: chunks, nodes and edges with their vectors. A complete file is left alone; one whose chunks lack vectors is stored again."""
+    """Store one text under a name: chunks, nodes and edges with their vectors. A complete file is left alone; one whose chunks lack vectors is stored again.
+
+    A text's appendix is left out (P15). A spreadsheet's Markdown is chunked by rows, for citations and relations alike, and the file is a node (C4).
+    A text without chunks gives ``ko``; a run that fails leaves nothing behind (Q22).
+    """
     file_id = store.file_id(tenant, name)
     if file_id:
         if store.table("chunks", tenant).filter((F.col("file_id") == file_id) & F.col("embedding").isNull()).isEmpty():
             return "ok"
         store.delete(tenant, name)
-    plain = unicodedata.normalize("NFKC", text)
+    plain = chunk.primary_text(unicodedata.normalize("NFKC", text))
+    is_sheet = name.lower().endswith(".xlsx")
+    cited = chunk.table_chunks(name, plain) if is_sheet else chunk.citation_chunks(plain)
+    if not cited:
+        return "ko"
     of = lambda some: spark.createDataFrame([(i, c) for i, c in enumerate(some)], "chunk_id long, chunk string")
-    chunks = embedded(of(chunk.citation_chunks(plain)), F.col("chunk"), embedder).select(F.col("chunk_id").alias("id"), "chunk", "embedding")
-    found = mentions_of(of(chunk.relation_chunks(plain)), tagger).withColumn("normal", node_name(F.col("name")))
-    firsts = first_in(found.select("chunk_id", "normal", "start", "name", "label", "description"), ["chunk_id", "normal"], ["start"])
+    chunks = embedded(of(cited), F.col("chunk"), embedder).select(F.col("chunk_id").alias("id"), "chunk", "embedding")
+    found = mentions_of(of(cited if is_sheet else chunk.relation_chunks(plain)), tagger)
+    found = found.filter(entity_valid(F.col("name"))).withColumn("name", stripped(F.col("name"))).withColumn("normal", node_name(F.col("name")))
+    firsts = graph.entity_first(found.select("chunk_id", "start", "name", "label", "description"))
     ordered = firsts.select("normal", "name", F.col("label").alias("type"), "description", (F.col("chunk_id") * 1_000_000 + F.col("start")).alias("seq"))
+    if is_sheet:
+        ordered = ordered.union(spark.createDataFrame([(name, "file", "", -1)], "name string, type string, description string, seq long").select(node_name(F.col("name")).alias("normal"), "name", "type", "description", "seq"))
     nodes = graph.upserted(ordered, ["normal"]).select(F.xxhash64("normal").alias("id"), "name", F.col("normal").alias("name_normalized"), "type", "description")
     told = F.when(F.col("description") == "", F.col("name")).otherwise(F.concat_ws(": ", "name", "description"))
     node_vec = embedded(nodes, told, embedder)
@@ -74,7 +91,11 @@ def ingest(spark: SparkSession, store: Store, tenant: str, name: str, text: str,
     sentences = first_in(found.select("chunk_id", "sentence", "description"), ["chunk_id", "sentence"], ["description"])
     edges = pairs.join(sentences, ["chunk_id", "sentence"]).select(F.xxhash64("chunk_id", "source", "target").alias("id"), "source", "target", "description", F.col("source").alias("source_normalized"), F.col("target").alias("target_normalized"))
     edge_vec = embedded(edges, F.trim("description"), embedder).select("id", F.col("id").alias("edge_id"), "embedding")
-    return store.put(tenant, name, {"chunks": chunks, "nodes": nodes, "node_vec": node_vec, "edges": edges, "edge_vec": edge_vec})
+    try:
+        return store.put(tenant, name, {"chunks": chunks, "nodes": nodes, "node_vec": node_vec, "edges": edges, "edge_vec": edge_vec})
+    except Exception:
+        store.delete(tenant, name)
+        raise
 
 
 @dataclass
@@ -91,8 +112,12 @@ def expanded(prompt: str, entities: list[str]) -> str:
     return prompt
 
 
-def search(spark: SparkSession, store: Store, tenant: str, prompt: str, entities: list[str], embedder: Embedder, reranker: Reranker) -> Found:
-    """Citations, nodes and edges for a prompt. All three are plans; only the seeds' names (24 at most) come to the driver."""
+def search(spark: SparkSession, store: Store, tenant: str, prompt: str, entities: list[str], embedder: Embedder, reranker: Reranker, rows: list[int] | None = None) -> Found:
+    """Citations, nodes and edges for a prompt. All three are plans; only the seeds' names (24 at most) come to the driver.
+
+    Nodes and edges are those of the files that are cited, or of the seeds' files if none is (R12, R13, U9). With ``rows``, chunks of the seeds'
+    spreadsheets that have one of these rows take the place of the citations, if there are any (R11, U8).
+    """
     entities = [unicodedata.normalize("NFKC", e).strip() for e in entities if e.strip()]
     full = expanded(unicodedata.normalize("NFKC", prompt), entities)
     literal = lambda v: F.array(*[F.lit(float(x)) for x in v])
@@ -100,13 +125,13 @@ def search(spark: SparkSession, store: Store, tenant: str, prompt: str, entities
     files = store.table("files", tenant).select(F.col("id").alias("file_id"), F.col("name").alias("file"))
     chunks = store.table("chunks", tenant).select(F.struct("file_id", "id").alias("key"), "file_id", "chunk", "embedding")
 
-    names = seed_names(store, tenant, entities, embedder, reranker, literal)
-    seed_files = store.table("nodes", tenant).filter(F.col("name_normalized").isin(names)).select("file_id").distinct() if names else None
+    names = seed_names(spark, store, tenant, entities, embedder, reranker)
+    seed_files = store.table("nodes", tenant).filter(F.col("name_normalized").isin(names) if names else F.lit(False)).select("file_id").distinct()
 
     anchors = [*entities, *full.split()]
     near = knn(chunks, query, POOL, "key").filter((F.col("distance") <= rank.GATE) | anchored(F.col("chunk"), anchors) | anchor_impossible(F.col("chunk"), anchors)).withColumn("source", F.lit(1))
     some = near.select("key", "file_id", "chunk", "distance", "source")
-    if seed_files is not None:
+    if names:
         some = some.union(nearest_per_group(chunks.join(seed_files, "file_id", "left_semi").select("key", "file_id", "chunk", "embedding"), query, "file_id", "key").withColumn("source", F.lit(2)).select(some.columns))
     terms = [e.lower() for e in entities if len(e) >= SHORTEST]
     if terms:
@@ -114,33 +139,41 @@ def search(spark: SparkSession, store: Store, tenant: str, prompt: str, entities
         some = some.union(first_in(hits, ["term", "file_id"], ["distance", "key"]).withColumn("source", F.lit(3)).select(some.columns))
     some = first_in(some, ["file_id", "chunk"], ["source", "distance", "key"]).withColumn("query_id", F.lit(0))
     least = rank.SCORE_LEAST if names else F.when(anchored(F.col("chunk"), entities), rank.SCORE_LEAST).otherwise(rank.SCORE_LEAST_ALONE)
-    cited = rank.cited(scored(some, full, F.col("chunk"), reranker), seq="key", least=least)
+    cited = rank.cited(scored(some, full, F.col("chunk"), reranker), seq="key", least=least).select("place", "file_id", "key", "chunk", "distance", "score", "fusion")
+    if numbers := list(dict.fromkeys(r for r in rows or [] if isinstance(r, int) and r > 0)):
+        sheets = seed_files.join(files, "file_id").filter(F.lower("file").endswith(".xlsx")).select("file_id")
+        told = chunks.join(sheets, "file_id", "left_semi").filter(records.holds_row(F.col("chunk"), numbers))
+        if not told.isEmpty():
+            place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("key"))  # the few chunks that name these rows
+            cited = told.select(place.alias("place"), "file_id", "key", "chunk", F.lit(0.0).alias("distance"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("fusion"))
     citations = cited.join(files, "file_id").select("place", "file", "chunk", "distance", "score", "fusion")
 
-    nodes = store.table("nodes", tenant).filter(F.col("name_normalized").isin(names) if names else F.lit(False))
-    detail = graph.longest_per(nodes.select("name_normalized", "name", "type", "description", "id"), ["name_normalized"], "description", "id")
+    told_files = cited.select("file_id").distinct()
+    of_files = told_files.union(seed_files.join(told_files.select(F.col("file_id").alias("_told")).limit(1), F.lit(True), "left_anti"))
+    detail = graph.node_detail(store.table("nodes", tenant), names, of_files)
     edges = store.table("edges", tenant)
-    degrees = graph.degree(edges).withColumnRenamed("name", "name_normalized")
-    told = detail.join(degrees, "name_normalized", "left").select("name", "type", "description", F.coalesce("degree", F.lit(0)).alias("degree")).orderBy(F.desc("degree"), "name").limit(NODES)
-
-    walked = graph.traverse(edges.select("id", "source_normalized", "target_normalized", "description"), store.table("edge_vec", tenant), query, names)
-    weighed = scored(walked, full, F.col("description"), reranker).withColumn("tokens", F.ceil(F.length("description") / 4).cast("long"))
-    kept = rank.budgeted(weighed.withColumn("all", F.lit(0)).withColumnRenamed("id", "seq"), "all").select("place", "seq", "score")
-    out = kept.join(walked.withColumnRenamed("id", "seq"), "seq").select("place", F.col("source_normalized").alias("source"), F.col("target_normalized").alias("target"), "description", "score")
+    degrees = graph.degree(edges)
+    told = detail.join(degrees.withColumnRenamed("name", "name_normalized"), "name_normalized", "left").select("name", "type", "description", F.coalesce("degree", F.lit(0)).alias("degree")).orderBy(F.desc("degree"), "name").limit(NODES)
+
+    walked = graph.traverse(edges.join(of_files, "file_id", "left_semi").select("id", "source_normalized", "target_normalized", "description"), store.table("edge_vec", tenant), query, names)
+    for end in ("source", "target"):
+        walked = walked.join(degrees.select(F.col("name").alias(f"{end}_normalized"), F.col("degree").alias(f"_{end}")), f"{end}_normalized", "left")
+    walked = walked.withColumn("rank", F.coalesce("_source", F.lit(0)) + F.coalesce("_target", F.lit(0))).orderBy("distance", F.desc("rank"), "id").limit(POOL)
+    weighed = scored(walked, full, F.col("description"), reranker).withColumn("tokens", token_estimate(F.concat_ws(" ", "source_normalized", "target_normalized", "description")))
+    weighed = weighed.withColumn("all", F.lit(0)).withColumn("seq", F.row_number().over(Window.partitionBy("all").orderBy(F.desc("score"), F.desc("rank"), "id")).cast("long"))  # POOL rows
+    kept = rank.budgeted(weighed, "all").select("place", "seq")
+    out = kept.join(weighed, "seq").select("place", F.col("source_normalized").alias("source"), F.col("target_normalized").alias("target"), "description", "score")
     return Found(citations, told, out)
 
 
-def seed_names(store: Store, tenant: str, entities: list[str], embedder: Embedder, reranker: Reranker, literal) -> list[str]:
-    """Names of the seeds: of each entity's nearest nodes those that score, then names that hold an entity, shortest first."""
+def seed_names(spark: SparkSession, store: Store, tenant: str, entities: list[str], embedder: Embedder, reranker: Reranker) -> list[str]:
+    """Names of the seeds: of each entity's nearest nodes those that score, then names that hold an entity, shortest first (R3-R5, U3). One plan for all entities."""
     out: dict[str, None] = {}
-    vectors = store.table("node_vec", tenant)
-    for e, v in zip(entities, embedder.embed("query", entities) if entities else []):
-        pool = knn(vectors.select("id", "name_normalized", "description", "embedding"), literal(v), NODE_POOL)
-        pool = scored(pool.withColumn("query_id", F.lit(0)).withColumnRenamed("id", "seq"), e, F.concat_ws(": ", "name_normalized", "description"), reranker)
-        out.update(dict.fromkeys(r["name_normalized"] for r in rank.seeds(pool).orderBy("place").collect()))
-    terms = [e.lower() for e in entities if len(e) >= SHORTEST]
-    if terms:
-        held = F.exists(F.array(*map(F.lit, terms)), lambda t: F.col("name_normalized").contains(t))
-        like = store.table("nodes", tenant).filter(held).select("name_normalized").distinct().orderBy(F.length("name_normalized"), "name_normalized").limit(graph.SEEDS)
-        out.update(dict.fromkeys(r[0] for r in like.collect()))
+    if entities:
+        asked = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(embedder.embed("query", entities))], "query_id int, query_vector array<float>")
+        pool = batch_knn(store.table("node_vec", tenant).select("id", "name_normalized", "description", "embedding"), asked, NODE_POOL)
+        pool = scored(pool.drop("rank").withColumnRenamed("id", "seq"), dict(enumerate(entities)), F.concat_ws(": ", "name_normalized", "description"), reranker)
+        out.update(dict.fromkeys(r["name_normalized"] for r in rank.seeds(pool).orderBy("query_id", "place").collect()))
+    if terms := [e.lower() for e in entities if len(e) >= SHORTEST]:
+        out.update(dict.fromkeys(r[0] for r in records.names_like(store.table("nodes", tenant), terms, graph.SEEDS).collect()))
     return list(out)[: graph.SEEDS]

@@ -16,7 +16,7 @@ def test_search_after_a_stream(spark, tmp_path):
     assert store.table("chunks", "t").filter("embedding IS NULL").isEmpty()
     found = search(spark, store, "t", "who studied the river", ["Maria Rossi"], embedder, OverlapReranker())
     assert found.citations.orderBy("place").first().file == "rivers.md"
-    assert ("maria rossi", "po") in {(e.source, e.target) for e in found.graph.collect()}
+    assert ("maria rossi", "acme labs") in {(e.source, e.target) for e in found.graph.collect()}
 
 
 def test_chunks_without_vectors(spark, tmp_path):
