@@ -209,7 +209,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, size: int, end_id: int, id_col:
 
         coder, task, seen = library_ids(vocabulary), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, 1, 12 << 20):
                 rows, (flat, ends) = [], coder.encode(some.column(1))
                 edges = ends + np.arange(len(ends))
                 flat = np.insert(flat.astype("<u4"), ends[1:], end_id)
