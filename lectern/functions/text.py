@@ -43,6 +43,11 @@ def wide_class() -> str:
     return char_class(lambda c: unicodedata.east_asian_width(c) in "WF")
 
 
+def wide_one() -> str:
+    """A pattern of one wide character; the look-ahead spares most others the long class, as none lies below U+1100."""
+    return r"(?=[\x{1100}-\x{10FFFF}])" + wide_class()
+
+
 def ends_sentence(c: str) -> bool:
     name = unicodedata.name(c, "")
     return c in "\n…" or ("INVERTED" not in name and any(w in name for w in ("FULL STOP", "QUESTION MARK", "EXCLAMATION MARK", "DANDA")))
@@ -54,7 +59,7 @@ def end_class() -> str:
 
 
 def n_wide(text: Column) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, wide_class(), ""))
+    return F.length(text) - F.length(F.regexp_replace(text, wide_one(), ""))
 
 
 def token_estimate(text: Column) -> Column:
@@ -85,7 +90,7 @@ def stripped(text: Column) -> Column:
 def entity_valid(name: Column) -> Column:
     """Whether a name may be an entity: three characters or more, two if one is wide, and no address."""
     plain = stripped(name)
-    return F.coalesce((F.length(plain) >= F.when(plain.rlike(wide_class()), TERM_LEAST_WIDE).otherwise(TERM_LEAST)) & ~F.lower(plain).contains("http"), F.lit(False))
+    return F.coalesce((F.length(plain) >= F.when(plain.rlike(wide_one()), TERM_LEAST_WIDE).otherwise(TERM_LEAST)) & ~F.lower(plain).contains("http"), F.lit(False))
 
 
 def primary_text(text: Column) -> Column:
@@ -120,14 +125,14 @@ def anchored(text: Column, terms: list[str]) -> Column:
 
 def anchor_impossible(text: Column, terms: list[str]) -> Column:
     """Whether all terms are wide and the text has no wide character, so that none could be held."""
-    return F.coalesce(~text.rlike(wide_class()), F.lit(True)) if terms and all(map(is_wide, terms)) else F.lit(False)
+    return F.coalesce(~text.rlike(wide_one()), F.lit(True)) if terms and all(map(is_wide, terms)) else F.lit(False)
 
 
 def words(text: Column) -> Column:
     """Words, hyphenated ones whole, and single marks; each wide character stands alone (F7). ``chunk.word_spans`` has their places."""
     found = F.regexp_extract_all(text, F.lit(rf"{WORD}+(?:[-_]{WORD}+)*|[^{WORD[1:-1]}{SPACE[1:-1]}]"), F.lit(0))
     parts = F.flatten(F.transform(found, lambda w: F.regexp_extract_all(w, F.lit(f"{wide_class()}|[^{wide_class()[1:]}+"), F.lit(0))))
-    return F.when(text.rlike(wide_class()), parts).otherwise(found)
+    return F.when(text.rlike(wide_one()), parts).otherwise(found)
 
 
 def sentence_count(text: Column) -> Column:
