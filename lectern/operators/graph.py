@@ -67,8 +67,8 @@ def traverse(edges: DataFrame, edge_vectors: DataFrame, query: Column, seed_name
     return first_in(near, [source, target], ["distance", "id"]).orderBy("distance", "id").limit(PER_SEED * max(1, len(names)))
 
 
-def relation_pairs(mentions: DataFrame) -> DataFrame:
-    """``chunk_id, sentence, source, target`` from ``chunk_id, sentence, start, stop, name, between``.
+def relation_pairs(mentions: DataFrame, places: bool = False) -> DataFrame:
+    """``chunk_id, sentence, source, target`` from ``chunk_id, sentence, start, stop, name, between``; with ``places`` also where both begin, ``source_at, target_at``.
 
     ``between`` is the text from the mention before. A mention within 60 characters, of which what is between only enumerates,
     goes on with its group; one that something else parts from the group is the target of an edge
@@ -81,4 +81,5 @@ def relation_pairs(mentions: DataFrame) -> DataFrame:
     df = df.withColumn("_island", F.sum((~(F.col("_near") & F.col("_list"))).cast("int")).over(line))
     links = df.filter(F.col("_near") & ~F.col("_list")).select("chunk_id", "sentence", (F.col("_island") - 1).alias("_island"), F.col("name").alias("target"), F.col("start").alias("_at"))
     pairs = df.select("chunk_id", "sentence", "_island", F.col("name").alias("source"), F.col("start").alias("_from")).join(links, ["chunk_id", "sentence", "_island"]).filter("source != target")
-    return first_in(pairs, ["chunk_id", "source", "target"], ["sentence", "_from", "_at"]).select("chunk_id", "sentence", "source", "target")
+    first = first_in(pairs, ["chunk_id", "source", "target"], ["sentence", "_from", "_at"])
+    return first.select("chunk_id", "sentence", "source", "target", *([F.col("_from").alias("source_at"), F.col("_at").alias("target_at")] if places else []))

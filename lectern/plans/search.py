@@ -1,8 +1,9 @@
-"""Ingest of a text and hybrid search over a tenant's tables."""
+"""Ingest of files and hybrid search over a tenant's tables."""
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -43,59 +44,108 @@ def scored(rows: DataFrame, prompt: str | dict[int, str], text: Column, model: R
     return rows.withColumn("score", score(F.col("query_id") if isinstance(prompt, dict) else F.lit(0), text))
 
 
+PIECES = "file_id long, kind string, chunk_id long, chunk string"
+MENTIONS = "file_id long, chunk_id long, sentence int, start int, stop int, name string, label string, description string, between string"
+
+
+def pieces(texts: DataFrame) -> DataFrame:
+    """Chunks of whole files (``file_id, name, text``): ``kind`` is citation or relation, or both for a spreadsheet's, which are cut by rows."""
+    def run(batches):
+        for batch in batches:
+            for file_id, name, text in zip(batch["file_id"], batch["name"], batch["text"]):
+                plain = chunk.primary_text(unicodedata.normalize("NFKC", text))
+                if name.lower().endswith(".xlsx"):
+                    made = [("both", i, c) for i, c in enumerate(chunk.table_chunks(name, plain))]
+                else:
+                    made = [("citation", i, c) for i, c in enumerate(chunk.citation_chunks(plain))]
+                    made += [("relation", i, c) for i, c in enumerate(chunk.relation_chunks(plain))] if made else []
+                yield pd.DataFrame([(file_id, *m) for m in made], columns=["file_id", "kind", "chunk_id", "chunk"])
+
+    return texts.select("file_id", "name", "text").mapInPandas(run, PIECES)
+
+
 def mentions_of(chunks: DataFrame, tagger: Tagger) -> DataFrame:
-    """``chunk_id, sentence, start, stop, name, label, description, between``: entities of each chunk, placed in its sentences."""
+    """Entities of each chunk (``file_id, chunk_id, chunk``), placed in its sentences; ``between`` is the text since the mention before."""
     def run(batches):
         for batch in batches:
             rows = []
-            for chunk_id, text in zip(batch["chunk_id"], batch["chunk"]):
+            for file_id, chunk_id, text in zip(batch["file_id"], batch["chunk_id"], batch["chunk"]):
                 held, last = chunk.sentences(text), {}
                 for start, stop, label, _ in tagger.tag(text):
                     k = next((i for i, (_, a, b) in enumerate(held) if a <= start < b), None)
                     if k is not None:
-                        rows.append((chunk_id, k, start, stop, text[start:stop], label, held[k][0], text[last[k] : start] if k in last else None))
+                        rows.append((file_id, chunk_id, k, start, stop, text[start:stop], label, held[k][0], text[last[k] : start] if k in last else None))
                         last[k] = stop
-            yield pd.DataFrame(rows, columns=["chunk_id", "sentence", "start", "stop", "name", "label", "description", "between"])
+            yield pd.DataFrame(rows, columns=["file_id", "chunk_id", "sentence", "start", "stop", "name", "label", "description", "between"])
 
-    return chunks.select("chunk_id", "chunk").mapInPandas(run, "chunk_id long, sentence int, start int, stop int, name string, label string, description string, between string")
+    return chunks.select("file_id", "chunk_id", "chunk").mapInPandas(run, MENTIONS)
 
 
 def ingest(spark: SparkSession, store: Store, tenant: str, name: str, text: str, embedder: Embedder, tagger: Tagger) -> str:
-    """Store one text under a name: chunks, nodes and edges with their vectors. A complete file is left alone; one whose chunks lack vectors is stored again.
+    """Store one text under a name, as ``ingest_files`` does."""
+    return ingest_files(spark, store, tenant, spark.createDataFrame([(name, text)], "name string, text string"), embedder, tagger).head()["status"]
 
-    A text's appendix is left out (P15). A spreadsheet's Markdown is chunked by rows, for citations and relations alike, and the file is a node (C4).
-    A text without chunks gives ``ko``; a run that fails leaves nothing behind (Q22).
+
+def ingest_files(spark: SparkSession, store: Store, tenant: str, files: DataFrame, embedder: Embedder, tagger: Tagger) -> DataFrame:
+    """Store texts (``name, text``) of any number: chunks, nodes and edges with their vectors, one plan a table. Gives ``name, status`` of each name.
+
+    A complete file is left alone; one whose chunks lack vectors is stored again. Of texts under one name the least is taken. Files without a
+    name, and those without chunks (null and empty texts too), are ``ko`` and not stored. A text's appendix is left out (P15). A spreadsheet's
+    Markdown is chunked by rows, for citations and relations alike, and the file is a node (C4). A run that fails leaves nothing behind (Q22).
     """
-    file_id = store.file_id(tenant, name)
-    if file_id:
-        if store.table("chunks", tenant).filter((F.col("file_id") == file_id) & F.col("embedding").isNull()).isEmpty():
-            return "ok"
-        store.delete(tenant, name)
-    plain = chunk.primary_text(unicodedata.normalize("NFKC", text))
-    is_sheet = name.lower().endswith(".xlsx")
-    cited = chunk.table_chunks(name, plain) if is_sheet else chunk.citation_chunks(plain)
-    if not cited:
-        return "ko"
-    of = lambda some: spark.createDataFrame([(i, c) for i, c in enumerate(some)], "chunk_id long, chunk string")
-    chunks = embedded(of(cited), F.col("chunk"), embedder).select(F.col("chunk_id").alias("id"), "chunk", "embedding")
-    found = mentions_of(of(cited if is_sheet else chunk.relation_chunks(plain)), tagger)
+    work = store.work()
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{work}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{work}/{name}")
+
+    named = files.select(F.coalesce("name", F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    try:
+        given = kept(first_in(named, ["name"], ["text"]).withColumn("file_id", store.id_of(tenant, F.col("name"))), "given")
+        again = given.join(store.files(tenant), "file_id", "left_semi").select("file_id")
+        if not again.isEmpty():
+            # Their buckets alone are read.
+            lacking = kept(store.of_files("chunks", tenant, again).filter("embedding is null").select("file_id").distinct(), "lacking")
+            if not lacking.isEmpty():
+                store.drop(tenant, lacking)
+        texts = given.filter("name != ''").join(store.files(tenant), "file_id", "left_anti")
+        cut = kept(pieces(texts), "pieces")
+        new = kept(given.join(cut, "file_id", "left_semi").select("file_id", "name"), "new")
+        if not new.isEmpty():
+            store.begin(tenant, new)
+            try:
+                for table, rows in graph_tables(cut, new, kept, embedder, tagger).items():
+                    store.append(table, rows.withColumn("tenant", F.lit(tenant)))
+            except Exception:
+                store.drop(tenant, new)
+                raise
+            store.mark(tenant, new, "ok")
+    finally:
+        store.remove(work)
+    done = store.files(tenant).select("name", F.lit("ok").alias("_done"))
+    return named.select("name").distinct().join(done, "name", "left").select("name", F.coalesce("_done", F.lit("ko")).alias("status"))
+
+
+def graph_tables(cut: DataFrame, files: DataFrame, kept: Callable[[DataFrame, str], DataFrame], embedder: Embedder, tagger: Tagger) -> dict[str, DataFrame]:
+    """The tables of files (``file_id, name``) cut into ``pieces``; the tagger runs once, and ``kept`` holds what several tables are made from."""
+    chunks = embedded(cut.filter("kind != 'relation'").select("file_id", F.col("chunk_id").alias("id"), "chunk"), F.col("chunk"), embedder)
+    found = mentions_of(cut.filter("kind != 'citation'"), tagger)
     found = found.filter(entity_valid(F.col("name"))).withColumn("name", stripped(F.col("name"))).withColumn("normal", node_name(F.col("name")))
+    found = kept(found.withColumn("chunk_id", F.struct("file_id", F.col("chunk_id").alias("place"))), "mentions")
     firsts = graph.entity_first(found.select("chunk_id", "start", "name", "label", "description"))
-    ordered = firsts.select("normal", "name", F.col("label").alias("type"), "description", (F.col("chunk_id") * 1_000_000 + F.col("start")).alias("seq"))
-    if is_sheet:
-        ordered = ordered.union(spark.createDataFrame([(name, "file", "", -1)], "name string, type string, description string, seq long").select(node_name(F.col("name")).alias("normal"), "name", "type", "description", "seq"))
-    nodes = graph.upserted(ordered, ["normal"]).select(F.xxhash64("normal").alias("id"), "name", F.col("normal").alias("name_normalized"), "type", "description")
+    ordered = firsts.select("chunk_id.file_id", "normal", "name", F.col("label").alias("type"), "description", (F.col("chunk_id.place") * 1_000_000 + F.col("start")).alias("seq"))
+    sheets = files.filter(F.lower("name").endswith(".xlsx")).select("file_id", node_name(F.col("name")).alias("normal"), "name", F.lit("file").alias("type"), F.lit("").alias("description"), F.lit(-1).cast("long").alias("seq"))
+    nodes = graph.upserted(ordered.union(sheets), ["file_id", "normal"])
+    nodes = kept(nodes.select("file_id", F.xxhash64("normal").alias("id"), "name", F.col("normal").alias("name_normalized"), "type", "description"), "nodes")
     told = F.when(F.col("description") == "", F.col("name")).otherwise(F.concat_ws(": ", "name", "description"))
-    node_vec = embedded(nodes, told, embedder)
-    pairs = graph.relation_pairs(found.withColumn("name", F.col("normal")))
+    pairs = graph.relation_pairs(found.withColumn("name", F.col("normal")), places=True)
     sentences = first_in(found.select("chunk_id", "sentence", "description"), ["chunk_id", "sentence"], ["description"])
-    edges = pairs.join(sentences, ["chunk_id", "sentence"]).select(F.xxhash64("chunk_id", "source", "target").alias("id"), "source", "target", "description", F.col("source").alias("source_normalized"), F.col("target").alias("target_normalized"))
-    edge_vec = embedded(edges, F.trim("description"), embedder).select("id", F.col("id").alias("edge_id"), "embedding")
-    try:
-        return store.put(tenant, name, {"chunks": chunks, "nodes": nodes, "node_vec": node_vec, "edges": edges, "edge_vec": edge_vec})
-    except Exception:
-        store.delete(tenant, name)
-        raise
+    # Unique in its file and in the order of the text, which decides between equals.
+    in_text = (F.col("chunk_id.place") * 1_000_000 + F.col("source_at")) * 1_000_000 + F.col("target_at")
+    edges = pairs.join(sentences, ["chunk_id", "sentence"]).select("chunk_id.file_id", in_text.alias("id"), "source", "target", "description", F.col("source").alias("source_normalized"), F.col("target").alias("target_normalized"))
+    edges = kept(edges, "edges")
+    edge_vec = embedded(edges, F.trim("description"), embedder).select("file_id", "id", F.col("id").alias("edge_id"), "embedding")
+    return {"chunks": chunks, "nodes": nodes, "node_vec": embedded(nodes, told, embedder), "edges": edges, "edge_vec": edge_vec}
 
 
 @dataclass
@@ -122,7 +172,7 @@ def search(spark: SparkSession, store: Store, tenant: str, prompt: str, entities
     full = expanded(unicodedata.normalize("NFKC", prompt), entities)
     literal = lambda v: F.array(*[F.lit(float(x)) for x in v])
     query = literal(embedder.embed("query", [full])[0])
-    files = store.table("files", tenant).select(F.col("id").alias("file_id"), F.col("name").alias("file"))
+    files = store.files(tenant).withColumnRenamed("name", "file")
     chunks = store.table("chunks", tenant).select(F.struct("file_id", "id").alias("key"), "file_id", "chunk", "embedding")
 
     names = seed_names(spark, store, tenant, entities, embedder, reranker)
@@ -155,7 +205,7 @@ def search(spark: SparkSession, store: Store, tenant: str, prompt: str, entities
     degrees = graph.degree(edges)
     told = detail.join(degrees.withColumnRenamed("name", "name_normalized"), "name_normalized", "left").select("name", "type", "description", F.coalesce("degree", F.lit(0)).alias("degree")).orderBy(F.desc("degree"), "name").limit(NODES)
 
-    walked = graph.traverse(edges.join(of_files, "file_id", "left_semi").select("id", "source_normalized", "target_normalized", "description"), store.table("edge_vec", tenant), query, names)
+    walked = graph.traverse(edges.join(of_files, "file_id", "left_semi").select(F.struct("id", "file_id").alias("id"), "source_normalized", "target_normalized", "description"), store.table("edge_vec", tenant).select(F.struct("edge_id", "file_id").alias("edge_id"), "embedding"), query, names)
     for end in ("source", "target"):
         walked = walked.join(degrees.select(F.col("name").alias(f"{end}_normalized"), F.col("degree").alias(f"_{end}")), f"{end}_normalized", "left")
     walked = walked.withColumn("rank", F.coalesce("_source", F.lit(0)) + F.coalesce("_target", F.lit(0))).orderBy("distance", F.desc("rank"), "id").limit(POOL)

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import base_name
 from lectern.models import CapitalTagger, Embedder, HashingEmbedder, Tagger
-from lectern.plans.search import ingest
+from lectern.plans.search import ingest_files
 from lectern.sources.store import Store
 
 
 def ingest_stream(spark: SparkSession, folder: str, store: Store, tenant: str, checkpoint: str, pattern: str = "*.md", embedder: Embedder | None = None, tagger: Tagger | None = None):
-    """A query that ingests each new text file: chunks, graph and vectors. A file is stored once, whatever is replayed.
+    """A query that ingests new text files, all of a batch in one plan: chunks, graph and vectors. A file is stored once, whatever is replayed.
 
     Without models, the deterministic stand-ins are taken.
     """
@@ -21,8 +21,7 @@ def ingest_stream(spark: SparkSession, folder: str, store: Store, tenant: str, c
     named = files.select(base_name(F.col("_metadata.file_path")).alias("name"), F.col("value").alias("text"))
 
     def put(batch: DataFrame, _: int) -> None:
-        for row in batch.toLocalIterator():
-            ingest(spark, store, tenant, row["name"], row["text"], embedder, tagger)
+        ingest_files(batch.sparkSession, store, tenant, batch, embedder, tagger)
 
     return named.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
