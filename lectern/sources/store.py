@@ -87,21 +87,20 @@ class Store:
         ids = ids.select("file_id").distinct()
         hit = [r[0] for r in ids.select(self._bucket("chunks")).distinct().collect()]  # bounded by the number of buckets
         escaped = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(tenant)
-        work = self.work()
-        try:
-            for table in reversed(TABLES) if hit else ():
-                key = "id" if table == "files" else "file_id"
-                old = self._stored(table).filter((F.col("tenant") == tenant) & F.col("_bucket").isin(hit))
-                old.join(ids.withColumnRenamed("file_id", key), key, "left_anti").write.partitionBy("tenant", "_bucket").parquet(f"{work}/{table}")
-                for b in hit:
-                    place = f"tenant={escaped}/_bucket={b}"
-                    self.remove(f"{self.path(table)}/{place}")
-                    if self._exists(f"{work}/{table}/{place}"):
-                        fs, target = self._located(f"{self.path(table)}/{place}")
-                        fs.mkdirs(target.getParent())
-                        fs.rename(self._located(f"{work}/{table}/{place}")[1], target)
-        finally:
-            self.remove(work)
+        work = self.work()  # goes only when all is in place: after a failure it holds what had been rewritten
+        for table in reversed(TABLES) if hit else ():
+            key = "id" if table == "files" else "file_id"
+            old = self._stored(table).filter((F.col("tenant") == tenant) & F.col("_bucket").isin(hit))
+            old.join(ids.withColumnRenamed("file_id", key), key, "left_anti").write.partitionBy("tenant", "_bucket").parquet(f"{work}/{table}")
+            for b in hit:
+                place = f"tenant={escaped}/_bucket={b}"
+                self.remove(f"{self.path(table)}/{place}")
+                if self._exists(f"{work}/{table}/{place}"):
+                    fs, target = self._located(f"{self.path(table)}/{place}")
+                    fs.mkdirs(target.getParent())
+                    if not fs.rename(self._located(f"{work}/{table}/{place}")[1], target):
+                        raise OSError(f"{work}/{table}/{place} was not put in place")
+        self.remove(work)
 
     def delete(self, tenant: str, name: str) -> None:
         """Drop one file (K26). An unknown name is no error."""
