@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterator
@@ -60,6 +61,25 @@ def small_batches(spark: SparkSession) -> None:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Share of the driver's heap in use above which it is collected between queries. What lives there is far less; the rest is of queries that have ended.
+HEAP_SHARE = 0.3
+
+
+def relieved(spark: SparkSession) -> None:
+    """The driver lets go of plans, task records and broadcasts of queries that have ended; left alone, a JVM may first grow to its whole heap."""
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() - runtime.freeMemory() > HEAP_SHARE * runtime.maxMemory():
+        jvm.java.lang.System.gc()
+
+
+def trimmed() -> None:
+    """The C library gives the memory that Python has freed back to the system; other libraries than glibc are left as they are."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as Parquet and read it again: lineage ends, lost executors cost nothing, and the write's shuffle files go with it."""
     spark = df.sparkSession
@@ -69,6 +89,7 @@ def written(df: DataFrame, path: str) -> DataFrame:
         df.write.mode("overwrite").parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, was)
+    relieved(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.store import small_batches
+from lectern.llm.store import relieved, small_batches, trimmed
 
 #: Hash space of terms; latent factors.
 SPACE, FACTORS = 1 << 20, 8
@@ -168,7 +168,11 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         size += len(texts[-1])
         if size > limits.characters:
             break
-    return fit(texts, ys, limits)
+    model = fit(texts, ys, limits)
+    del texts
+    trimmed()
+    relieved(docs.sparkSession)
+    return model
 
 
 def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit: float = 0.3, id_col: str = "doc_id", text_col: str = "text", limits: Limits = LIMITS) -> DataFrame:
